@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise as B
@@ -21,12 +21,12 @@ from . import bytewise as B
 BLOCK = 12 << 20
 
 
-def texts(docs: DataFrame, id: str, text: str, weight=None) -> tuple[DataFrame, int]:
+def texts(docs: DataFrame, text: str, weight: Column | None = None, size: int | None = None) -> tuple[DataFrame, int]:
     """Distinct texts dealt into blocks (``block``, ``digest``, ``text``, ``rows``, ``weight``: the sum over the rows of a
-    0/1 column), and the number of blocks, which follows from the bytes of text. Copies are merged as they are read, batch
+    0/1 column), and the number of blocks, of about ``size`` bytes of text each. Copies are merged as they are read, batch
     by batch, so that a text with many copies is sent a few times only; who gets a block merges the rest."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = int(total // BLOCK) + 1
+    blocks = int(total // (size or BLOCK)) + 1
     rows = docs.select(F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.lit(1) if weight is None else weight.cast("int")).alias("weight"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -181,7 +181,7 @@ def score(docs: DataFrame, trained: Column, settings: Settings = Settings(), id:
     """Learn from the documents for which ``trained`` holds and score all: id, ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score`` (add-one unigrams) and ``score`` (log10 probabilities)."""
     s = settings
-    blocks, buckets = X.texts(docs, id, text, F.coalesce(trained, F.lit(False)))
+    blocks, buckets = X.texts(docs, text, F.coalesce(trained, F.lit(False)))
 
     def ask_pairs(key: tuple, table: pa.Table) -> pa.Table:
         block = Block(table)

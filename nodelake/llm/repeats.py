@@ -39,6 +39,7 @@ class Settings:
     span: int = 100  # bytes from a window's start in which its anchor lies
     gram: int = 16  # bytes that an anchor is chosen by
     keep: str = "none"
+    block: int | None = 8 << 20  # bytes of text in a block
 
 
 def anchors(raw: np.ndarray, off: np.ndarray, spans: B.Spans, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +152,7 @@ def find(docs: DataFrame, settings: Settings = Settings(), id: str = "doc_id", t
     """For each distinct text: ``digest`` (MD5), ``n_bytes``, ``spans`` (maximal removed runs, as starts and ends),
     ``n_removed``, ``kept`` (the remaining bytes) and ``kept_sha256``."""
     s = settings
-    blocks, buckets = X.texts(docs, id, text)
+    blocks, buckets = X.texts(docs, text, size=s.block)
 
     def ask_strings(key: tuple, table: pa.Table) -> pa.Table:
         block = Block(table, s)

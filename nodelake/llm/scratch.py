@@ -37,3 +37,15 @@ def clear(spark: SparkSession) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of texts that go to a Python worker at once. Spark's default of 10,000 is meant for short rows.
+BATCH = "1000"
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Keep batches of texts small in memory, unless the session says how large they are to be."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH)
+    return spark
