@@ -38,7 +38,7 @@ class Settings:
     longest: int = 8
     recall: float = 0.99999
     slack: float = 0.2  # how far a signature's estimate may lie below the threshold
-    rows: int = 400  # of a block
+    rows: int = 128  # of a block
     bytes: int = 4 << 20  # of the texts of a block
 
 
