@@ -1,4 +1,62 @@
-"""The stages that turn ``documents`` into encoded training text."""
+"""The stages that turn ``documents`` into encoded training text.
 
-STAGES = []
+Each stage reads all that the one before it kept, as a table, and applies one operator of ``nodelake.llm``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nodelake.llm import bpe, decontaminate, jaccard, language, lines, scratch
+
+#: A document whose nearest language is nearer by less than this is in none of the languages.
+LEAST_MARGIN = 0.03
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that the documents are labelled with; others go (no letter, no clear language)."""
+    scratch.tune(spark)
+    told = language.predict(docs, language.train(docs))
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_MARGIN)).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of runs of lines go. A document that loses all of its text goes with it."""
+    scratch.tune(spark)
+    left = lines.dedup(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.filter(F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest id."""
+    scratch.tune(spark)
+    return jaccard.dedup(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    scratch.tune(spark)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the whole texts."""
+    scratch.tune(spark)
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("language ID", language_id), ("line dedup", line_dedup), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", without_benchmark), ("byte-level BPE", encoded)]
+
+#: SQL can express none of the last three stages; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``, each written as a table and read by the next."""
+    docs = scratch.tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = scratch.table(stage(spark, docs, sf_dir))
+    return docs
