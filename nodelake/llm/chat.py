@@ -240,7 +240,7 @@ def recover(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n_rows"))
     alone = F.concat(F.lit("row "), F.xxhash64("turn", "role", "text").cast("string"))
     raw = transcripts(rows.withColumn("conv", F.coalesce(F.concat(F.lit("id "), F.col("conv_id").cast("string")), alone)))
-    seen = _segments(raw.withColumn("symbols", F.transform(F.split("raw", "\n"), symbol)))
+    seen = scratch.table(_segments(raw.withColumn("symbols", F.transform(F.split("raw", "\n"), symbol))))  # read three times
     emit, move = train(seen)
 
     sizes = seen.select("conv", "segment", "part").distinct()
