@@ -32,12 +32,12 @@ from . import bytewise as B
 
 @dataclass(frozen=True)
 class Settings:
-    shortest: int = 3
+    shortest: int = 4
     longest: int = 6
     bucket_bits: int = 18
     size: int = 8
     words: int = 40
-    rows_each: tuple[int, int] = (8000, 3000)  # of label 0, of label 1
+    rows_each: tuple[int, int] = (5000, 2000)  # of label 0, of label 1
     rounds: int = 12
     batch: int = 128
     mean_rounds: int = 3
@@ -92,6 +92,7 @@ def fit(texts: pa.Array, labels: np.ndarray, s: Settings = Settings()) -> Model:
         owners.append(t + first)
         grams_before += len(b)
     bucket, edge, owner = np.concatenate(buckets), np.append(np.concatenate(edges), grams_before), np.concatenate(owners)
+    del buckets, edges, owners
     random = np.random.default_rng(7)
     embedding = random.normal(0, 0.1, (size, s.size)).astype(np.float32)
     softmax = random.normal(0, 1, (2, s.size)).astype(np.float32)
