@@ -1,9 +1,316 @@
-"""The library's queries and their SQL."""
+"""The library's queries over the shared tables, and the SQL that must give the same rows.
 
+The tables stand in for a repository: ``documents`` are files (path ``source/doc_id.txt``), ``pages`` HTML files,
+``events.props`` JSON files, ``embeddings`` stored nodes. Two states of a tree are told apart by ``labels``: toxic documents
+have just been added, those of low quality have just been changed, and pages have just been deleted.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import parsers
+from .functions import scalars as X
+from .operators import chunk, diff, embed, filters, search, store
+from .plans.synth import CASES
+from .sources.ignore import Matcher
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return _table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.col("text").alias("content"), "lang", X.document_hash(path, F.col("text")).alias("hash"))
+
+
+_DOCS = "(SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text AS content, lang, sha256(source || '/' || CAST(doc_id AS VARCHAR) || '.txt:' || text) AS hash FROM documents)"
+
+
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.chunks(_documents(spark, sf_dir).select("doc_id", "content"))
+
+
+_CHUNKS = """SELECT doc_id, CAST(i AS BIGINT) AS ordinal, CAST(i * 225 AS BIGINT) AS start_byte, CAST(least(i * 225 + 250, length(text)) AS BIGINT) AS end_byte,
+  CAST(length(substring(text, 1, i * 225)) - length(replace(substring(text, 1, i * 225), chr(10), '')) + 1 AS BIGINT) AS start_line,
+  CAST(length(substring(text, 1, i * 225 + 250)) - length(replace(substring(text, 1, i * 225 + 250), chr(10), '')) + 1 AS BIGINT) AS end_line,
+  substring(text, i * 225 + 1, 250) AS content
+  FROM (SELECT doc_id, text, CAST(unnest(range(0, (length(text) - 1) // 225 + 1)) AS BIGINT) AS i FROM documents WHERE length(text) > 0)"""
+
+
+def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = chunk.chunks(_documents(spark, sf_dir).select("lang", "content"))
+    return chunks.groupBy("lang").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"), F.max("end_line").alias("last_line"))
+
+
+def document_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("path", "hash", X.content_hash(F.col("content")).alias("content_hash"))
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of all kinds, from parts' names and types."""
+    name = F.concat_ws("/", F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.element_at(F.array(*map(F.lit, _SUFFIXES)), (F.col("p_size") % len(_SUFFIXES)) + 1)))
+    return _table(spark, sf_dir, "part").select("p_partkey", name.alias("path"), (F.col("p_retailprice") * 1000).cast("long").alias("size_bytes"))
+
+
+_SUFFIXES = (".py", ".MIN.js", ".tsx", ".png", "", ".min", ".tar.gz", ".markdown", ".pyc", ".lock", "/build/x.py", ".yml", ".d.ts", "/.env", ".SVG", ".json", ".")
+_PATHS = f"(SELECT p_partkey, lower(replace(p_brand, '#', '_')) || '/' || replace(p_name, ' ', '_') || [{', '.join(repr(s) for s in _SUFFIXES)}][(p_size % {len(_SUFFIXES)}) + 1] AS path, CAST(p_retailprice * 1000 AS BIGINT) AS size_bytes FROM part)"
+_BASE = "regexp_extract(path, '[^/]*$')"
+_SUFFIX = f"lower(regexp_extract({_BASE}, '^.+(\\.[^.]+)$', 1))"
+_IGNORE = ["*.pyc", "*.lock", "build/", "!keep.lock", "/brand_1?/*.min", "brand_[23]*/**/*.yml"]
+
+
+def walk_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, size = F.col("path"), F.col("size_bytes")
+    return _paths(spark, sf_dir).select(
+        "p_partkey", "path", X.suffix(path).alias("suffix"), filters.is_binary(path).alias("is_binary"), filters.is_minified(path).alias("is_minified"),
+        filters.readable(path, size, 1_200_000).alias("readable"), X.language_of(path).alias("language"))
+
+
+def ignore_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).select("p_partkey", "path", Matcher(_IGNORE).column(F.col("path")).alias("ignored"))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored hashes before the sync."""
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), "toxic", "quality")
+    docs = _documents(spark, sf_dir)
+    docs = docs.join(labels, F.col("doc_id") == F.col("_id"), "left").filter("toxic is null or toxic = 0")
+    old = F.when(F.col("quality") == 0, X.content_hash(F.col("hash"))).otherwise(F.col("hash"))
+    pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), X.content_hash(F.col("html")).alias("hash"))
+    return docs.select("path", old.alias("hash")).unionByName(pages)
+
+
+_STORED = f"""(SELECT d.path, CASE WHEN l.quality = 0 THEN sha256(d.hash) ELSE d.hash END AS hash FROM {_DOCS} d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic IS NULL OR l.toxic = 0
+  UNION ALL SELECT 'pages/' || CAST(page_id AS VARCHAR) || '.html', sha256(html) FROM pages)"""
+_CLASSIFIED = f"""(SELECT coalesce(w.path, s.path) AS path, w.hash AS hash, s.hash AS stored_hash,
+  CASE WHEN w.path IS NULL THEN 'deleted' WHEN s.path IS NULL THEN 'new' WHEN w.hash <> s.hash THEN 'modified' ELSE 'unchanged' END AS status
+  FROM {_DOCS} w FULL OUTER JOIN {_STORED} s ON w.path = s.path)"""
+_PLANNED = f"""(SELECT *, CASE status WHEN 'deleted' THEN 'delete' WHEN 'unchanged' THEN 'none' ELSE CASE WHEN r <= 40 THEN 'sync' ELSE 'skip' END END AS action
+  FROM (SELECT *, row_number() OVER (PARTITION BY status IN ('new', 'modified') ORDER BY path) AS r FROM {_CLASSIFIED}))"""
+_BY_PATH = f"(SELECT path, (length(content) - 1) // 225 + 1 AS n FROM {_DOCS})"
+
+
+def sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.classify(_documents(spark, sf_dir), _stored(spark, sf_dir))
+
+
+def sync_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.plan(sync_plan(spark, sf_dir), 40).select("path", "status", "action")
+
+
+def sync_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    parsed = chunk.chunks(docs.select("path", "content")).groupBy("path").agg(F.count("*").alias("n"))
+    return diff.summary(diff.plan(sync_plan(spark, sf_dir), 40), parsed)
+
+
+def sync_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = chunk.chunks(_documents(spark, sf_dir).select("path", "content")).groupBy("path").agg(F.count("*").alias("n"))
+    return diff.synced_paths(diff.plan(sync_plan(spark, sf_dir), 40), parsed)
+
+
+def full_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    empty = _stored(spark, sf_dir).filter("false")
+    return diff.classify(_documents(spark, sf_dir), empty).select("path", "status")
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return chunk.chunks(docs.select(F.col("path").alias("document_path"), "hash", "content")).withColumn("id", F.concat_ws("#", "document_path", "ordinal")).select("id", "document_path", "hash", "start_line", F.length("content").alias("size"))
+
+
+_NODES = f"(SELECT d.path || '#' || CAST(c.ordinal AS VARCHAR) AS id, d.path AS document_path, d.hash, c.start_line, length(c.content) AS size FROM ({_CHUNKS}) c JOIN {_DOCS} d ON c.doc_id = d.doc_id)"
+
+
+def stored_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.stored_hashes(_nodes(spark, sf_dir))
+
+
+def _toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("_id"))
+    return _documents(spark, sf_dir).join(labels, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("path").alias("document_path"))
+
+
+_TOXIC = f"(SELECT path FROM {_DOCS} WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))"
+
+
+def delete_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.delete_paths(_nodes(spark, sf_dir), _toxic(spark, sf_dir)).select("id", "document_path", "hash")
+
+
+def upsert_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nodes(spark, sf_dir)
+    new = nodes.join(_toxic(spark, sf_dir), "document_path", "left_semi").withColumn("size", F.lit(0)).select(nodes.columns)
+    return store.upsert(nodes, new).select("id", "document_path", F.col("size").cast("long").alias("size"))
+
+
+def sync_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, planned = _nodes(spark, sf_dir), diff.plan(sync_plan(spark, sf_dir), 40)
+    synced = planned.filter("action = 'sync'").select(F.col("path").alias("document_path"))
+    return diff.apply(nodes, planned, nodes.join(synced, "document_path", "left_semi").select(nodes.columns).withColumn("start_line", F.lit(0).cast("long"))).select("id", "start_line")
+
+
+def status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _stored(spark, sf_dir).withColumnRenamed("path", "document_path")
+    return diff.status(nodes, _documents(spark, sf_dir))
+
+
+def stale_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.stale(diff.stored_hashes(_stored(spark, sf_dir).withColumnRenamed("path", "document_path")), _documents(spark, sf_dir)).select("path")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("string")
+    nodes = rows.select(
+        F.col("vec_id").alias("id"), F.concat(F.lit("  vector\n"), F.col("vec_id").cast("string"), F.lit(" of label "), label).alias("content"), F.concat(F.lit("d"), label, F.lit("/"), F.col("vec_id").cast("string")).alias("document_path"),
+        F.when(F.col("label") < 5, "python").otherwise("rust").alias("language"), F.when(F.col("label") == 3, "class").otherwise("function").alias("node_type"), F.concat(F.lit("n"), label).alias("node_name"),
+        F.when(F.col("label") > 6, "").otherwise("doc").alias("documentation"), F.col("label").cast("long").alias("start_line"), F.lit(None).cast("long").alias("end_line"), F.lit(None).cast("string").alias("signature"), F.lit("").alias("parent_scope"), "embedding")
+    return nodes, [float(x) for x in rows.filter("vec_id = 0").first()["embedding"]]
+
+
+_SCORED = """(SELECT e.vec_id AS id, CAST(e.label AS BIGINT) AS label, round(list_sum(list_transform(range(1, 65), lambda i: CAST(e.embedding[i] AS DOUBLE) * q.embedding[i])) /
+  sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * x)) * list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x))), 5) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"""
+
+
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, query = _vectors(spark, sf_dir)
+    return search.search(nodes, query).select("id", F.round("score", 5).alias("score"), "file_path", "start_line", "end_line", "signature")
+
+
+def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, query = _vectors(spark, sf_dir)
+    found = search.search(nodes, query, 5, file_path="d3/", language="python", node_type="class", node_name="n3", has_documentation=True)
+    return found.select("id", F.round("score", 5).alias("score"), "file_path", "language", "node_type", "node_name", "documentation")
+
+
+def hit_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, query = _vectors(spark, sf_dir)
+    return search.search(nodes, query, 20).select("id", X.preview(F.col("content")).alias("preview"), X.score_text(F.round("score", 2)).alias("score"))
+
+
+def node_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _ = _vectors(spark, sf_dir)
+    cases = {"path": {"file_path": "d3/7"}, "directory": {"file_path": "d3/"}, "documented": {"has_documentation": True}, "undocumented": {"has_documentation": False}, "all": {"file_path": ""}}
+    tests = [F.count_if(F.lit(True) if (c := filters.node_filter(**kw)) is None else c).alias(name) for name, kw in cases.items()]
+    return nodes.agg(*tests)
+
+
+def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "pages").select("page_id", F.lit("html").alias("language"), F.col("html").alias("content"))
+    return parsers.parse_documents(docs, ["page_id"]).select("page_id", "node_type", "node_name", "parent_scope", F.col("extra")["item_count"].alias("item_count"), F.col("extra")["cleaned_text"].alias("cleaned_text"))
+
+
+def _cleaned(part: str) -> str:
+    inner = f"regexp_replace(regexp_extract(html, '<{part}>(.*?)</{part}>', 1, 's'), '<[^>]+>|&[A-Za-z0-9#]+;', ' ', 'g')"
+    words = f"list_filter(string_split(trim(regexp_replace(lower({inner}), '\\s+', ' ', 'g')), ' '), lambda w: w <> '' AND NOT list_contains({list(X.STOPWORDS)!r}, w))"
+    return f"array_to_string({words}, ' ')"
+
+
+_HTML = f"""SELECT page_id, 'h1' AS node_type, CASE WHEN c = '' THEN 'h1' ELSE array_to_string(string_split(c, ' ')[1:5], ' ') END AS node_name, 'article' AS parent_scope, CAST(NULL AS VARCHAR) AS item_count, substring(c, 1, 100) AS cleaned_text FROM (SELECT page_id, {_cleaned('h1')} AS c FROM pages)
+  UNION ALL SELECT page_id, 'ul', 'ul-list', 'nav', CAST(n AS VARCHAR), substring(c, 1, 100) FROM (SELECT page_id, {_cleaned('ul')} AS c, len(regexp_extract_all(regexp_extract(html, '<ul>(.*?)</ul>', 1, 's'), '<li')) AS n FROM pages)"""
+
+
+def json_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "events").select("event_id", F.lit("json").alias("language"), F.col("props").alias("content"))
+    return parsers.parse_documents(docs, ["event_id"]).select("event_id", "node_type", "node_name", F.col("extra")["path"].alias("path"), "start_line", "end_line", "end_byte", "content")
+
+
+def _synthesised(language: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.lit(language).alias("language"), CASES[language].source(F.col("n_nationkey"), F.col("n_name")).alias("content"))
+        nodes = parsers.parse_documents(docs, ["k"])
+        name = F.when(F.col("node_type") == "h1", "x").otherwise(X.stored(F.col("node_name")))
+        return nodes.select("k", "ordinal", "node_type", name.alias("node_name"), X.stored(F.col("parent_scope")).alias("parent_scope"), X.stored(F.col("signature")).alias("signature"), "start_line", "end_line")
+
+    return query
+
+
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    clean = X.drop_stopwords(X.normalize(text))
+    return _table(spark, sf_dir, "documents").select(
+        "doc_id", X.content_hash(X.normalize(text)).alias("normalized"), X.content_hash(clean).alias("cleaned"), X.first_words(clean, 5, F.lit("text")).alias("name"), X.truncate(clean).alias("head"), X.preview(text).alias("preview"))
+
+
+_NORMAL = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
+_CLEAN = f"array_to_string(list_filter(string_split({_NORMAL}, ' '), lambda w: w <> '' AND NOT list_contains({list(X.STOPWORDS)!r}, w)), ' ')"
+
+
+def name_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("p_name")
+    quoted = F.concat(F.lit('"""'), name, F.lit(' """'))
+    comment = F.concat(F.lit("/**\n * "), name, F.lit("\n *\n *   @x "), F.col("p_brand"), F.lit("\n */"))
+    return _table(spark, sf_dir, "part").select(
+        "p_partkey", X.collection_name(name).alias("collection"), X.is_constant_name(F.replace(F.upper("p_brand"), F.lit("#"), F.lit("_"))).alias("constant"), X.is_constant_name(name).alias("not_constant"),
+        X.strip_docstring(quoted).alias("docstring"), X.clean_doc_comment(comment).alias("doc"), X.relative_path(F.concat(F.lit("/root/"), name), "/root").alias("relative"), X.stored(F.nullif(F.col("p_type"), F.lit(""))).alias("stored"))
+
+
+def payload_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node's payload: its columns and, over them, its extra keys."""
+    nation = _table(spark, sf_dir, "nation")
+    extra = F.create_map(F.lit("path"), F.col("n_name"), F.lit("length"), F.col("n_regionkey").cast("string"))
+    core = F.map_filter(F.create_map(F.lit("name"), F.col("n_name"), F.lit("path"), F.lit("core")), lambda k, _: ~F.array_contains(F.map_keys(extra), k))
+    merged = F.map_concat(core, extra)
+    return nation.select("n_nationkey", merged["name"].alias("name"), merged["path"].alias("path"), merged["length"].alias("length"), F.size(merged).cast("long").alias("n"))
+
+
+def node_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nodes(spark, sf_dir).select("id", X.node_id(F.col("document_path"), F.col("start_line")).alias("uuid"))
+
+
+def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings of all documents; rows only, as SQL can't hash subwords alike."""
+    return _documents(spark, sf_dir).select("doc_id", embed.embed(F.col("content")).alias("embedding"))
+
+
+_SHA = "sha256(document_path || '|' || CAST(start_line AS VARCHAR))"
+
+SQL = {
+    "chunk_documents": _CHUNKS,
+    "chunk_stats": f"SELECT d.lang AS lang, count(*) AS chunks, CAST(sum(length(c.content)) AS BIGINT) AS chars, max(c.end_line) AS last_line FROM ({_CHUNKS}) c JOIN documents d ON c.doc_id = d.doc_id GROUP BY d.lang",
+    "document_hashes": f"SELECT path, hash, sha256(content) AS content_hash FROM {_DOCS}",
+    "walk_filters": f"""SELECT p_partkey, path, suffix, is_binary, is_minified, NOT is_binary AND NOT is_minified AND size_bytes > 0 AND size_bytes <= 1200000 AS readable,
+      CASE suffix {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in X.LANGUAGES.items())} ELSE 'chunk' END AS language
+      FROM (SELECT *, suffix IN {filters.BINARY!r} AS is_binary, contains(lower({_BASE}), '.min.') OR suffix(lower({_BASE}), '.min') AS is_minified FROM (SELECT *, {_SUFFIX} AS suffix FROM {_PATHS}))""",
+    "ignore_match": rf"""SELECT p_partkey, path, CASE WHEN regexp_matches(path, '^brand_[23][^/]*/(.+/)?[^/]*\.yml(/.*)?$') THEN true WHEN regexp_matches(path, '^brand_1[^/]/[^/]*\.min(/.*)?$') THEN true
+      WHEN regexp_matches(path, '(^|/)keep\.lock(/|$)') THEN false WHEN regexp_matches(path, '(^|/)build/') THEN true WHEN regexp_matches(path, '\.lock(/|$)') THEN true WHEN regexp_matches(path, '\.pyc(/|$)') THEN true ELSE false END AS ignored FROM {_PATHS}""",
+    "sync_plan": f"SELECT * FROM {_CLASSIFIED}",
+    "sync_capped": f"SELECT path, status, action FROM {_PLANNED}",
+    "sync_summary": f"""SELECT count(*) FILTER (status <> 'deleted') AS files_checked, count(*) FILTER (action = 'sync' AND n > 0) AS files_synced, count(*) FILTER (action = 'skip') AS skipped_files, count(*) FILTER (action = 'delete') AS nodes_deleted,
+      CAST(coalesce(sum(n) FILTER (action = 'sync' AND status = 'new'), 0) AS BIGINT) AS nodes_added, CAST(coalesce(sum(n) FILTER (action = 'sync' AND status = 'modified'), 0) AS BIGINT) AS nodes_updated FROM {_PLANNED} p LEFT JOIN {_BY_PATH} b ON p.path = b.path""",
+    "sync_paths": f"SELECT path, CASE action WHEN 'sync' THEN 'synced' ELSE 'deleted' END AS kind FROM {_PLANNED} WHERE action IN ('sync', 'delete')",
+    "full_sync": f"SELECT path, 'new' AS status FROM {_DOCS}",
+    "stored_hashes": f"SELECT path, hash FROM {_DOCS} WHERE length(content) > 0",
+    "delete_paths": f"SELECT id, document_path, hash FROM {_NODES} n WHERE NOT EXISTS (SELECT 1 FROM {_TOXIC} t WHERE t.path = n.document_path)",
+    "upsert_nodes": f"SELECT id, document_path, CAST(CASE WHEN document_path IN (SELECT path FROM {_TOXIC}) THEN 0 ELSE size END AS BIGINT) AS size FROM {_NODES}",
+    "sync_apply": f"SELECT id, CASE WHEN document_path IN (SELECT path FROM {_PLANNED} WHERE action = 'sync') THEN 0 ELSE start_line END AS start_line FROM {_NODES}",
+    "status": f"SELECT (SELECT count(*) FROM {_STORED}) AS nodes_indexed, (SELECT count(DISTINCT path) FROM {_STORED}) AS documents_indexed, (SELECT count(*) FROM {_STORED} s WHERE s.hash NOT IN (SELECT hash FROM {_DOCS})) AS documents_indexed_stale",
+    "stale_documents": f"SELECT path FROM {_STORED} s WHERE s.hash NOT IN (SELECT hash FROM {_DOCS})",
+    "vector_topk": f"SELECT id, score, 'd' || CAST(label AS VARCHAR) || '/' || CAST(id AS VARCHAR) AS file_path, label AS start_line, CAST(0 AS BIGINT) AS end_line, '' AS signature FROM {_SCORED} ORDER BY score DESC, id LIMIT 10",
+    "vector_topk_filtered": f"SELECT id, score, 'd3/' || CAST(id AS VARCHAR) AS file_path, 'python' AS language, 'class' AS node_type, 'n3' AS node_name, 'doc' AS documentation FROM {_SCORED} WHERE label = 3 ORDER BY score DESC, id LIMIT 5",
+    "hit_preview": f"SELECT id, 'vector ' || CAST(id AS VARCHAR) || ' of label ' || CAST(label AS VARCHAR) || '...' AS preview, printf('%.4f', round(score, 2)) AS score FROM (SELECT * FROM {_SCORED} ORDER BY score DESC, id LIMIT 20)",
+    "node_filters": "SELECT count(*) FILTER (label = 3 AND vec_id = 7) AS path, count(*) FILTER (label = 3) AS directory, count(*) FILTER (label <= 6) AS documented, count(*) FILTER (label > 6) AS undocumented, count(*) AS \"all\" FROM embeddings",
+    "html_nodes": _HTML,
+    "json_nodes": "SELECT event_id, 'object' AS node_type, 'root' AS node_name, 'root' AS path, CAST(1 AS BIGINT) AS start_line, CAST(1 AS BIGINT) AS end_line, CAST(strlen(props) AS BIGINT) AS end_byte, props AS content FROM events",
+    "text_functions": f"SELECT doc_id, sha256({_NORMAL}) AS normalized, sha256({_CLEAN}) AS cleaned, CASE WHEN {_CLEAN} = '' THEN 'text' ELSE array_to_string(string_split({_CLEAN}, ' ')[1:5], ' ') END AS name, substring({_CLEAN}, 1, 100) AS head, substring(replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), ' '), 1, 50) || '...' AS preview FROM documents",
+    "name_functions": "SELECT p_partkey, 'nodelake_' || regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]', '_', 'g') AS collection, true AS constant, false AS not_constant, trim(p_name) AS docstring, trim(p_name) || chr(10) || '@x ' || p_brand AS doc, p_name AS relative, p_type AS stored FROM part",
+    "payload_merge": "SELECT n_nationkey, n_name AS name, n_name AS path, CAST(n_regionkey AS VARCHAR) AS length, CAST(3 AS BIGINT) AS n FROM nation",
+    "node_ids": f"SELECT id, substring({_SHA}, 1, 8) || '-' || substring({_SHA}, 9, 4) || '-' || substring({_SHA}, 13, 4) || '-' || substring({_SHA}, 17, 4) || '-' || substring({_SHA}, 21, 12) AS uuid FROM {_NODES}",
+}
+
+
+def queries() -> dict[str, Query]:
+    named = {name: globals()[name] for name in [*SQL, "embed_documents"]}
+    return named | {f"{language}_parser": _synthesised(language) for language in CASES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return SQL | {f"{language}_parser": case.sql("nation", "n_nationkey", "n_name") for language, case in CASES.items()}

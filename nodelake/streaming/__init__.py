@@ -1,0 +1,25 @@
+"""Continuous indexing: a stream of documents, applied to a collection batch by batch."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from .. import parsers
+from ..operators import diff, embed
+from ..operators.store import SCHEMA, Store
+
+
+def sync(documents: DataFrame, store: Store, collection: str, checkpoint: str) -> StreamingQuery:
+    """Start a query that parses each document (``path``, ``hash``, ``content``) of a stream and puts its nodes in place of
+    the document's old ones. Node ids follow from path and position, so a batch that runs twice changes nothing."""
+
+    def apply(batch: DataFrame, _: int) -> None:
+        stored = store.nodes(collection)
+        planned = diff.plan(diff.classify(batch.dropDuplicates(["path"]), diff.stored_hashes(stored)).filter("status <> 'deleted'"), None)
+        todo = batch.dropDuplicates(["path"]).join(planned.filter("action = 'sync'").select("path"), "path", "left_semi")
+        good = parsers.nodes(todo).filter("error is null").drop("error")
+        store.replace(collection, diff.apply(stored, planned, good.withColumn("embedding", embed.embed(F.col("content"))).select(*SCHEMA.names)))
+
+    return documents.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
