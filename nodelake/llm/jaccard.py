@@ -302,8 +302,8 @@ def dedup(docs: DataFrame, settings: Settings = Settings(), id: str = "doc_id",
     rows = scratch.table(rows)
     best = scratch.table(rows.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best")))
     keep = best.join(rows.withColumnRenamed("root", "_root"), F.col("best.id").eqNullSafe(F.col("id")) & (F.col("best.digest") == F.col("digest"))).select("id", "digest", "rows")
-    keep = scratch.table(keep.union(rows.filter("root is null").select("id", "digest", F.lit(1))).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "rows"))
-    same = docs[id].eqNullSafe(F.col("_id")) & F.unhex(F.md5(docs[text])).eqNullSafe(F.col("_digest"))
-    once = docs.join(keep.filter("rows = 1"), same, "left_semi")
-    again = docs.join(keep.filter("rows > 1"), same, "left_semi").dropDuplicates([id, text])
+    keep = scratch.table(keep.union(rows.filter("root is null").select("id", "digest", F.lit(1))).select(F.col("id").alias("__own_id"), F.col("digest").alias("__own_digest"), F.col("rows").alias("__rows")))
+    same = docs[id].eqNullSafe(F.col("__own_id")) & F.unhex(F.md5(docs[text])).eqNullSafe(F.col("__own_digest"))
+    once = docs.join(keep.filter("__rows = 1"), same, "left_semi")
+    again = docs.join(keep.filter("__rows > 1"), same, "left_semi").dropDuplicates([id, text])
     return once.union(again)

@@ -139,10 +139,10 @@ def _delete(text: str, found: list[dict]) -> tuple[str, int, int, int]:
 
 
 def _joined(docs: DataFrame, settings: Settings, id: str, text: str) -> DataFrame:
-    found = runs(docs, settings, id, text).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("runs").alias("_runs"))
+    found = runs(docs, settings, id, text).select(F.col("id").alias("__own_id"), F.col("digest").alias("__own_digest"), F.col("runs").alias("__runs"))
     digest = F.unhex(F.md5(F.col(text)))
     found = found.hint("merge")  # grows with the documents, so the plan shouldn't turn on its size
-    return docs.join(found, docs[id].eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left").drop("_id", "_digest")
+    return docs.join(found, docs[id].eqNullSafe(F.col("__own_id")) & (digest == F.col("__own_digest")), "left").drop("__own_id", "__own_digest")
 
 
 def dedup(docs: DataFrame, settings: Settings = Settings(), id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -37,11 +37,11 @@ class Settings:
     bucket_bits: int = 18
     size: int = 8
     words: int = 40
-    rows_each: tuple[int, int] = (5000, 2000)  # of label 0, of label 1
+    rows_each: tuple[int, int] = (6000, 2000)  # of label 0, of label 1
     rounds: int = 12
     batch: int = 128
     mean_rounds: int = 3
-    rate: float = 0.05
+    rate: float = 0.15
     decay: float = 2e-3
 
 
