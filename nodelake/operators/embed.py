@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,14 +19,19 @@ from pyspark.sql import functions as F
 SIZE = 384
 
 
+@lru_cache(100_000)
+def _places(word: str, size: int) -> np.ndarray:
+    """Dimensions of a word and its trigrams; a negative sign is a dimension in the second half."""
+    hashes = [zlib.crc32(part.encode()) for part in (word, *(word[i : i + 3] for i in range(len(word) - 2)))]
+    return np.array([h % size + (0 if h >> 31 else size) for h in hashes], np.int64)
+
+
 def hashed(texts: pd.Series, size: int = SIZE) -> pd.Series:
     out = []
     for text in texts.fillna(""):
-        v = np.zeros(size)
-        for word in re.findall(r"\w+", text.lower()):
-            for part in (word, *(word[i : i + 3] for i in range(len(word) - 2))):
-                h = zlib.crc32(part.encode())
-                v[h % size] += 1 if h >> 31 else -1
+        places = [_places(word, size) for word in re.findall(r"\w+", text.lower())]
+        count = np.bincount(np.concatenate(places), minlength=2 * size) if places else np.zeros(2 * size)
+        v = (count[:size] - count[size:]).astype(float)
         norm = np.linalg.norm(v)
         out.append((v / norm if norm else v).astype(np.float32).tolist())
     return pd.Series(out)

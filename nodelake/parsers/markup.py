@@ -40,7 +40,7 @@ _SCOPES = frozenset("article section div main aside nav header footer h1 h2 h3 h
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<(/?)([A-Za-z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _RAW = {"script", "style"}
 #: Elements that a new one of the same group closes, up to one of the containers.
-_CLOSES = {"li": ({"li"}, {"ul", "ol"}), "p": ({"p"}, {"div", "article", "section", "td", "body"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+_CLOSES = {"li": ({"li"}, {"ul", "ol"}), "p": ({"p"}, {"div", "article", "section", "td", "body"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
 class _Element:

@@ -12,7 +12,7 @@ from .base import Source, blank, doc_block, is_constant, pairs
 
 _MASK = re.compile(
     r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"
-    r"|(?<![\w)\]\x80-\xff.])(?<![\w)\]] )/(?![*/\s])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[dgimsuvy]*",
+    r"|(?:(?<=\breturn )|(?<=\btypeof )|(?<=\bcase )|(?<![\w)\]\x80-\xff.])(?<![\w)\]] ))/(?![*/\s])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[dgimsuvy]*",
     re.S,
 )
 _ID = r"[A-Za-z_$\x80-\xff][\w$\x80-\xff]*"
