@@ -38,7 +38,8 @@ class Settings:
     longest: int = 8
     recall: float = 0.99999
     slack: float = 0.2  # how far a signature's estimate may lie below the threshold
-    rows: int = 128  # of a block
+    rows: int = 128  # of a block of a neighbourhood
+    node: int = 512  # rows of a block of a trie node
     bytes: int = 4 << 20  # of the texts of a block
 
 
@@ -182,7 +183,11 @@ def _near_task(s: Settings, hashes: int):
                 agree = np.zeros((len(own), len(own)), np.int32)
                 for j in range(0, hashes, 8):
                     agree += (own[:, None, j : j + 8] == own[None, :, j : j + 8]).sum(2, dtype=np.int32)
-                for i, root in enumerate(_roots((agree >= least) & _sides(side[first:end]))):
+                linked, sides = (agree >= least) & ~np.eye(len(own), dtype=bool), side[first:end]
+                inside = root_of = _roots(linked & (sides[:, None] == sides[None, :]))
+                if sides.any() and not sides.all():  # links inside each block are another task's; here only what joins them
+                    root_of = np.where(inside == np.arange(len(own)), _roots(linked), np.arange(len(own)))
+                for i, root in enumerate(root_of.tolist()):
                     if root != i:
                         a.append(texts[first + i])
                         b.append(texts[first + root])
@@ -266,7 +271,7 @@ def join(docs: DataFrame, settings: Settings = Settings(), id: str = "doc_id", t
     shared = scratch.table(nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("node").alias("shared"), "n"))
     members = scratch.table(nodes.join(shared, F.col("node") == F.col("shared")).drop("shared"))
     signatures = texts.select(F.col("text").alias("_text"), "signature")
-    met = _in_blocks(members.join(signatures, F.col("text") == F.col("_text")), "node", F.ceil(F.col("n") / s.rows))
+    met = _in_blocks(members.join(signatures, F.col("text") == F.col("_text")), "node", F.ceil(F.col("n") / s.node))
     edges = _dealt(met.select("node", "i", "j", "side", "text", "signature"), "node").mapInArrow(_near_task(s, hashes), "a binary, b binary")
     around = components.label(edges)
 

@@ -136,10 +136,10 @@ def test_jaccard_of_large_groups_and_repeated_rows(spark):
     words = [f"w{i}" for i in range(300)]
     rows = [(i, " ".join([*words[:150], f"own{i}", *words[150:]]), "en", "s") for i in range(60)] + [(100, " ".join(words), "en", "s")] * 3 + [(None, "only words here", "en", "s"), (7777, "", "en", "s"), (7778, None, "en", "s")]
     table = frame(spark, rows)
-    got = jaccard.report(table, jaccard.Settings(rows=16)).collect()
+    got = jaccard.report(table, jaccard.Settings(rows=16, node=8)).collect()
     assert {(r["class_id"], r["n_links"]) for r in got if r["doc_id"] is not None and r["doc_id"] <= 100} == {(0, 62)}
     assert {(r["class_id"], r["n_links"]) for r in got if r["doc_id"] is None or r["doc_id"] > 100} == {(None, 0), (7777, 0), (7778, 0)}
-    out = jaccard.dedup(table, jaccard.Settings(rows=16))
+    out = jaccard.dedup(table, jaccard.Settings(rows=16, node=8))
     assert out.columns == table.columns
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == [0, 7777, 7778, None]
     twice = jaccard.dedup(frame(spark, [(1, "a b c d e f", "en", "s")] * 2))
