@@ -4,8 +4,8 @@ A benchmark text is cut into passages (a short text is one passage). A passage o
 at most e edits shares at least m + 1 - q (e + 1) of its q-grams with the place where it occurs, all on diagonals at
 most e apart (the q-gram lemma). So shared q-grams are counted by passage and diagonal band; bands overlap by half, so
 that any such group of diagonals is whole in one of them. Regions whose count reaches the bound are aligned with the
-passage in a band of diagonals, and kept if the alignment takes at most e edits. Letters A-Z are lower-cased and white
-space counts as a space before comparison; edits are counted in bytes.
+passage in a band of diagonals, and kept if the alignment takes at most e edits. Case is folded for all of Unicode and
+white space counts as a space before comparison; edits are counted in bytes of the folded text.
 
 The benchmark is read in blocks of bounded size, each compared with all documents.
 
@@ -16,8 +16,10 @@ rows yield repeated results; an empty benchmark yields no rows; other columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +42,49 @@ class Settings:
 Q = 8
 
 
-def _folded() -> np.ndarray:
+def _table() -> np.ndarray:
     out = B.LOWER.copy()
     out[B.SPACE] = 32
     out[0] = 32
     return out
 
 
-FOLD = _folded()
+FOLD = _table()
+
+
+@cache
+def _uneven() -> tuple[re.Pattern, dict[str, int]]:
+    """The characters whose folded form takes another number of bytes, and by how many more."""
+    more = {}
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))):
+        if (low := c.casefold()) != c and (n := len(low.encode()) - len(c.encode())):
+            more[c] = n
+    return re.compile(f"[{''.join(map(re.escape, more))}]"), more
+
+
+def folded(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, Callable[[int], int]]:
+    """A run of texts with case folded, the offsets of its texts, and what takes a place in it back to one in ``raw``."""
+    if not (raw >= 0x80).any():
+        return FOLD[raw], off, int
+    text = raw.tobytes().decode("utf-8", "surrogateescape")
+    out = FOLD[np.frombuffer(text.casefold().encode("utf-8", "surrogateescape"), np.uint8)]
+    pattern, more = _uneven()
+    odd = [(m.start(), more[m.group()]) for m in pattern.finditer(text)] if (raw >= 0xC4).any() else []
+    if not odd:  # characters below U+0100 keep their size
+        return out, off, int
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    size = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+    size[(code >= 0xDC80) & (code <= 0xDCFF)] = 1  # a byte that is no UTF-8
+    before = np.concatenate([[0], np.cumsum(size)])
+    at, n = np.array(odd).T
+    size[at] += n
+    after = np.concatenate([[0], np.cumsum(size)])
+
+    def back(z: int) -> int:
+        k = int(np.searchsorted(after, z, "right")) - 1
+        return min(int(before[k]) + z - int(after[k]), int(before[min(k + 1, len(code))]))
+
+    return out, after[np.searchsorted(before, off)], back
 
 
 def _grams(a: np.ndarray) -> np.ndarray:
@@ -65,7 +102,8 @@ class Passages:
     def __init__(self, items: list[tuple[object, str]], s: Settings):
         self.items, self.passages = [], []
         for item, text in items:
-            a = FOLD[np.frombuffer((text or "").encode(), np.uint8)]
+            raw = np.frombuffer((text or "").encode(), np.uint8)
+            a = folded(raw, np.array([0, len(raw)]))[0]
             parts = max(1, -(-len(a) // s.passage))
             for part in np.array_split(a, parts) if len(a) >= s.least else []:
                 self.items.append(item)
@@ -138,7 +176,7 @@ class Passages:
         """Text, passage, edits, start and end (bytes in its text) of each passage found in a run of texts."""
         if len(raw) < Q or not len(self.codes):
             return []
-        a = FOLD[raw]
+        a, off, back = folded(raw, off)
         passage, diagonal = self.candidates(a)
         # a band near the border of two texts can belong to either
         first = B.text_of(off, np.clip(diagonal, 0, len(a) - 1))
@@ -153,7 +191,8 @@ class Passages:
             for t, p, e, z in zip(text[part].tolist(), passage[part].tolist(), edits.tolist(), end.tolist()):
                 if e <= self.edits[p]:
                     best[t, p] = min(best.get((t, p), (e, z)), (e, z))
-        return [(t, p, e, max(0, z - int(off[t]) - int(self.sizes[p])), z - int(off[t])) for (t, p), (e, z) in sorted(best.items())]
+        at = lambda t, z: back(max(int(off[t]), z)) - back(int(off[t]))
+        return [(t, p, e, at(t, z - int(self.sizes[p])), at(t, z)) for (t, p), (e, z) in sorted(best.items())]
 
 
 def blocks(benchmark: DataFrame, s: Settings, item: str, text: str) -> Iterator[list[tuple[object, str]]]:

@@ -111,6 +111,17 @@ def test_decontamination(spark, table, docs, empty):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(table, items, small).collect()} == found
 
 
+def test_decontamination_folds_case_of_all_letters(spark):
+    text = "L'été dernier, les élèves préférés du collège étaient très énervés à Noël, où la fête fut gâchée par la grêle"
+    other = "Größere Straßen heißen außerhalb der Städte öfter Schnellstraßen, und niemand weiß genau, weshalb es so ist"
+    items = spark.createDataFrame([(1, text), (2, other)], "item_id long, text string")
+    rows = [(1, "İİK before. " + text.upper() + " after", "fr", "s"), (2, other.upper(), "de", "s"), (3, text.lower()[::-1], "fr", "s")]
+    got = {r["doc_id"]: r for r in decontaminate.find(frame(spark, rows), items).collect()}
+    assert {i: (r["item_id"], r["edits"]) for i, r in got.items()} == {1: (1, 0), 2: (2, 0)}
+    assert rows[0][1].encode()[got[1]["start"] : got[1]["end"]].decode() == text.upper()
+    assert [r["doc_id"] for r in decontaminate.clean(frame(spark, rows), items).collect()] == [3]
+
+
 def test_alignment_counts_edits():
     rng = random.Random(5)
     for _ in range(60):
