@@ -1,26 +1,32 @@
 """Benchmark decontamination by q-gram filtering and banded alignment.
 
-A benchmark text is cut into passages (a short text is one passage). A passage of m bytes that occurs in a document with
-at most e edits shares at least m + 1 - q (e + 1) of its q-grams with the place where it occurs, all on diagonals at
-most e apart (the q-gram lemma). So shared q-grams are counted by passage and diagonal band; bands overlap by half, so
-that any such group of diagonals is whole in one of them. Regions whose count reaches the bound are aligned with the
-passage in a band of diagonals, and kept if the alignment takes at most e edits. Case is folded for all of Unicode and
+Passages of a benchmark text are parts of equal size, of ``Settings.passage`` bytes at most (a short text is one), and
+besides windows of ``Settings.window`` bytes, one every ``Settings.stride``. So a verbatim copy of any
+window + stride - 1 bytes holds a passage whole. A passage of m bytes that occurs in a document with at most e edits
+shares at least m + 1 - q (e + 1) of its q-grams with the place where it occurs, all on diagonals at most e apart (the
+q-gram lemma). So shared q-grams are counted by section of a benchmark text and diagonal band, then by passage of the
+sections that hold enough of them; bands overlap by half, so that any such group of diagonals is whole in one of them.
+Regions whose count reaches the bound are aligned with the passage in a band of diagonals, and kept if the alignment
+takes at most e edits. A benchmark text of less than ``Settings.least`` bytes is searched as it is, without edits, and
+counts where no letter or digit goes on at either end. Case is folded for all of Unicode and
 white space counts as a space before comparison; edits are counted in bytes of the folded text.
 
 The benchmark is read in blocks of bounded size, each compared with all documents.
 
-Defined results: null and empty documents match nothing, nor do benchmark texts shorter than ``Settings.least`` bytes
-(too few q-grams to tell); a document with several copies of a passage yields one row with the best of them; repeated
+Defined results: null and empty documents match nothing, nor do blank benchmark texts; of passages that overlap in their
+benchmark text, that with fewest edits counts; a document with several copies of a passage yields one row with the best of them; repeated
 rows yield repeated results; an empty benchmark yields no rows; other columns are ignored. Long texts are read whole.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,13 +39,17 @@ from . import bytewise as B
 @dataclass(frozen=True)
 class Settings:
     passage: int = 128  # bytes of a passage, at most
-    least: int = 40  # bytes of a passage, at least
+    window: int = 64  # bytes of the passages that overlap
+    stride: int = 16  # bytes from one of those to the next
+    least: int = 40  # bytes of a benchmark text that is searched with edits, at least
     edits: float = 0.08  # of a passage's bytes
     block: int = 2 << 20  # bytes of the benchmark that are compared at once
 
 
 #: Bytes of a q-gram: eight fill one 64-bit number.
 Q = 8
+#: Bytes of a benchmark text in which the passages of a section begin.
+SECTION = 1024
 
 
 def _table() -> np.ndarray:
@@ -96,31 +106,69 @@ def _grams(a: np.ndarray) -> np.ndarray:
     return out
 
 
+def _goes_on(a: str, b: str) -> bool:
+    """Whether two neighbouring characters are within one word, or number, of a script with case."""
+    inner = lambda c: c.isdigit() or c.lower() != c.upper()
+    return bool(a and b) and inner(a) and inner(b)
+
+
 class Passages:
     """The passages of a block of benchmark texts and an index of their q-grams."""
 
     def __init__(self, items: list[tuple[object, str]], s: Settings):
-        self.items, self.passages = [], []
-        for item, text in items:
+        self.items, self.row, self.short = [], [], []
+        begin, size, sections, texts, bodies, codes, places = [], [], [], [], [], [], []
+        base = 0
+        for row, (item, text) in enumerate(items):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             a = folded(raw, np.array([0, len(raw)]))[0]
-            parts = max(1, -(-len(a) // s.passage))
-            for part in np.array_split(a, parts) if len(a) >= s.least else []:
-                self.items.append(item)
-                self.passages.append(part)
-        self.sizes = np.array([len(p) for p in self.passages], np.int64)
+            if len(a) < s.least:
+                if a.tobytes().strip():
+                    self.short.append((row, item, a.tobytes().strip()))
+                continue
+            edge = np.cumsum([0, *(len(x) for x in np.array_split(a, max(1, -(-len(a) // s.passage))))]).tolist()
+            parts = set(zip(edge[:-1], edge[1:]))
+            if len(a) > s.window:
+                parts |= {(i, i + s.window) for i in (*range(0, len(a) - s.window, s.stride), len(a) - s.window)}
+            parts = sorted(parts)
+            grams, reach = _grams(a), max(z - i for i, z in parts)
+            for first in range(0, len(a), SECTION):
+                own = parts[bisect(parts, (first,)) : bisect(parts, (first + SECTION,))]
+                if not own:
+                    continue
+                within = grams[first : first + SECTION + reach]
+                codes.append(within)
+                places.append(len(sections) << 32 | np.arange(len(within)))
+                sections.append((len(self.items), len(self.items) + len(own)))
+                for i, z in own:
+                    self.items.append(item)
+                    self.row.append((row, i, z))
+                    begin.append(i - first)
+                    size.append(z - i)
+                    bodies.append(base + i)
+            texts.append(a)
+            base += len(a)
+        self.body = np.concatenate([np.zeros(0, np.uint8), *texts])
+        self.body_at = np.array(bodies, np.int64)
+        self.begin, self.sizes = np.array(begin, np.int64), np.array(size, np.int64)
+        self.sections = np.array(sections, np.int64).reshape(-1, 2)
         self.edits = (self.sizes * s.edits).astype(np.int64)
         self.bound = np.maximum(self.sizes + 1 - Q * (self.edits + 1), 1)
+        self.least = np.minimum.reduceat(self.bound, self.sections[:, 0]) if len(self.sections) else self.bound
         self.reach = int(self.edits.max(initial=0)) + 1
-        codes = [_grams(p) for p in self.passages]
         every = np.concatenate([np.zeros(0, B.U), *codes])
         order = np.argsort(every, kind="stable")
         self.codes, self.first = np.unique(every[order], return_index=True)
         self.count = np.diff(np.append(self.first, len(every)))
-        self.passage = np.repeat(np.arange(len(codes)), [len(c) for c in codes])[order] if codes else np.zeros(0, np.int64)
-        self.offset = np.concatenate([np.arange(len(c)) for c in codes])[order] if codes else np.zeros(0, np.int64)
+        place = np.concatenate([np.zeros(0, np.int64), *places])[order]
+        self.section, self.offset = place >> 32, place & ((1 << 32) - 1)
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[self._slot(self.codes)] = True
+        self.n_long = len(self.items)
+        for row, item, text in self.short:
+            self.items.append(item)
+            self.row.append((row, 0, len(text)))
+        self._scan = None
 
     @staticmethod
     def _slot(codes: np.ndarray) -> np.ndarray:
@@ -135,14 +183,33 @@ class Passages:
         at, place = at[known], place[known]
         n = self.count[place]
         entry = np.repeat(self.first[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        passage = self.passage[entry]
-        band = (np.repeat(at, n) - self.offset[entry] + (1 << 30)) // self.reach
-        keys = np.concatenate([passage << 32 | band, passage << 32 | (band - 1)])
+        section, offset = self.section[entry], self.offset[entry]
+        key = section << 32 | (np.repeat(at, n) - offset + (1 << 30)) // self.reach
+        # a band's pair holds its own diagonals and the next band's
+        keys = np.concatenate([key, key - 1])
         keys.sort()
         first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
-        enough = np.diff(np.append(first, len(keys))) >= self.bound[keys[first] >> 32]
-        keys = keys[first[enough]]
-        return keys >> 32, (keys & ((1 << 32) - 1)) * self.reach - (1 << 30)
+        keys = keys[first[np.diff(np.append(first, len(keys))) >= self.least[keys[first] >> 32]]]
+        if not len(keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = []
+        for k in (key, key - 1):
+            group = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+            own = keys[group] == k
+            held.append(group[own] << 32 | offset[own])
+        held = np.sort(np.concatenate(held))
+        passages, groups = [], []
+        for a in range(0, len(keys), 1 << 12):
+            span = self.sections[keys[a : a + (1 << 12)] >> 32]
+            m = span[:, 1] - span[:, 0]
+            group = np.repeat(np.arange(a, a + len(m)), m)
+            passage = np.repeat(span[:, 0] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            low = group << 32 | self.begin[passage]
+            enough = np.searchsorted(held, low + self.sizes[passage] - Q, "right") - np.searchsorted(held, low) >= self.bound[passage]
+            passages.append(passage[enough])
+            groups.append(group[enough])
+        passage, band = np.concatenate(passages), keys[np.concatenate(groups)] & ((1 << 32) - 1)
+        return passage, band * self.reach - (1 << 30) + self.begin[passage]
 
     def align(self, a: np.ndarray, passage: np.ndarray, diagonal: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Fewest edits between each passage and a part of ``a`` in [low, high) near its diagonals, and that part's end.
@@ -153,9 +220,8 @@ class Passages:
         start = diagonal - self.reach
         columns = np.arange(width)
         size = self.sizes[passage]
-        pattern = np.zeros((len(passage), int(size.max(initial=0))), np.uint8)
-        for row, p in zip(pattern, passage):
-            row[: self.sizes[p]] = self.passages[p]
+        place = self.body_at[passage][:, None] + np.arange(int(size.max(initial=0)))
+        pattern = self.body[np.minimum(place, len(self.body) - 1)]  # what goes beyond a passage's end is not looked at
         cost = np.zeros((len(passage), width), np.int32)
         cost[(start[:, None] + columns < low[:, None]) | (start[:, None] + columns > high[:, None])] = 1 << 20
         best, end = np.full(len(passage), 1 << 20), np.zeros(len(passage), np.int64)
@@ -174,9 +240,13 @@ class Passages:
 
     def matches(self, raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """Text, passage, edits, start and end (bytes in its text) of each passage found in a run of texts."""
-        if len(raw) < Q or not len(self.codes):
+        if not len(raw):
             return []
         a, off, back = folded(raw, off)
+        place = lambda t, z: back(max(int(off[t]), z)) - back(int(off[t]))
+        out = [(t, p, 0, place(t, start), place(t, end)) for t, p, start, end in self.whole(a, off)]
+        if len(a) < Q or not len(self.codes):
+            return out
         passage, diagonal = self.candidates(a)
         # a band near the border of two texts can belong to either
         first = B.text_of(off, np.clip(diagonal, 0, len(a) - 1))
@@ -191,8 +261,34 @@ class Passages:
             for t, p, e, z in zip(text[part].tolist(), passage[part].tolist(), edits.tolist(), end.tolist()):
                 if e <= self.edits[p]:
                     best[t, p] = min(best.get((t, p), (e, z)), (e, z))
-        at = lambda t, z: back(max(int(off[t]), z)) - back(int(off[t]))
-        return [(t, p, e, at(t, z - int(self.sizes[p])), at(t, z)) for (t, p), (e, z) in sorted(best.items())]
+        return out + [(t, p, e, place(t, z - int(self.sizes[p])), place(t, z)) for (t, p), (e, z) in sorted(best.items())]
+
+    def whole(self, a: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Text, number, start and end of the first place of each short benchmark text in each of a run of texts."""
+        if not self.short:
+            return []
+        if self._scan is None:  # each worker builds its own
+            self._scan = ahocorasick.Automaton()
+            for k, (_, _, text) in enumerate(self.short):
+                key = text.decode("latin-1")
+                self._scan.add_word(key, (len(key), [*(self._scan.get(key, (0, []))[1]), k]))
+            self._scan.make_automaton()
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        body = a.tobytes()
+        character = lambda low, high, k: body[low:high].decode(errors="ignore")[k : k + 1 or None]
+        for last, (size, numbers) in self._scan.iter(body.decode("latin-1")):
+            start, end = last + 1 - size, last + 1
+            t = int(B.text_of(off, np.int64(start)))
+            if end > off[t + 1] or all((t, self.n_long + k) in found for k in numbers):
+                continue
+            before, after = character(max(int(off[t]), start - 4), start, -1), character(end, min(int(off[t + 1]), end + 4), 0)
+            if not _goes_on(before, character(start, min(end, start + 4), 0)) and not _goes_on(character(max(start, end - 4), end, -1), after):
+                for k in numbers:
+                    found.setdefault((t, self.n_long + k), (start, end))
+        return [(t, p, start, end) for (t, p), (start, end) in sorted(found.items())]
+
+    def __getstate__(self):
+        return self.__dict__ | {"_scan": None}
 
 
 def blocks(benchmark: DataFrame, s: Settings, item: str, text: str) -> Iterator[list[tuple[object, str]]]:
@@ -206,7 +302,7 @@ def blocks(benchmark: DataFrame, s: Settings, item: str, text: str) -> Iterator[
 
 def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and benchmark text of which it holds a passage: the document's id, the item's id,
-    ``passages`` (how many of them), ``edits`` (in all), ``start`` and ``end`` (bytes; within the edits)."""
+    ``passages`` (how many that don't overlap), ``edits`` (in them), ``start`` and ``end`` (bytes; within the edits)."""
     spark = docs.sparkSession
     shape = T.StructType([docs.schema[id], benchmark.schema[item], *(T.StructField(n, T.LongType()) for n in ("passages", "edits", "start", "end"))])
     found = None
@@ -221,10 +317,17 @@ def _search(shared, shape: T.StructType):
         index: Passages = shared.value
         for batch in batches:
             out: dict[tuple[int, object], list[int]] = {}
+            taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
             for first, _, raw, off in B.steps(batch.column(1)):
-                for t, p, edits, start, end in index.matches(raw, off):
+                for t, p, edits, start, end in sorted(index.matches(raw, off), key=lambda m: (m[0], m[2], m[1])):
                     got = out.setdefault((first + t, index.items[p]), [0, 0, start, end])
-                    got[:] = got[0] + 1, got[1] + edits, min(got[2], start), max(got[3], end)
+                    row, a, z = index.row[p]
+                    others = taken.setdefault((first + t, row), [])
+                    k = bisect(others, (a, z))
+                    if (not k or others[k - 1][1] <= a) and (k == len(others) or others[k][0] >= z):
+                        others.insert(k, (a, z))
+                        got[:2] = got[0] + 1, got[1] + edits
+                    got[2:] = min(got[2], start), max(got[3], end)
             rows = sorted(out.items(), key=lambda x: (x[0][0], str(x[0][1])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array([k[0] for k, _ in rows], pa.int64())), pa.array([k[1] for k, _ in rows], pa.int64()), *(pa.array([v[i] for _, v in rows], pa.int64()) for i in range(4))],

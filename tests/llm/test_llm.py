@@ -122,6 +122,20 @@ def test_decontamination_folds_case_of_all_letters(spark):
     assert [r["doc_id"] for r in decontaminate.clean(frame(spark, rows), items).collect()] == [3]
 
 
+def test_decontamination_of_parts_and_short_items(spark):
+    text = " ".join(f"{w}{i}" for i, w in enumerate(["amber", "basin", "cedar", "delta", "ember", "fjord", "glade", "heron"] * 30))
+    size = decontaminate.Settings().window + decontaminate.Settings().stride - 1
+    items = spark.createDataFrame([(1, text), (2, "Warum 7 Elche?"), (3, "né à"), (4, "  "), (5, None), (6, "né à")], "item_id long, text string")
+    at = random.Random(4).sample(range(len(text) - size), 40) + [0, len(text) - size, 1024 - size, 1023, 1024]
+    rows = [(k, "Z" * 70 + text[i : i + size] + "Q" * 70, "en", "s") for k, i in enumerate(at)]
+    rows += [(100, "da: WARUM 7 ELCHE?", "de", "s"), (101, "warum 7 elches", "de", "s"), (102, "ligné à Paris", "fr", "s"), (103, "NÉ À", "fr", "s"), (104, "né àé né àù", "fr", "s"), (105, text, "en", "s")]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find(frame(spark, rows), items).collect()}
+    assert set(got) == {(k, 1) for k in range(len(at))} | {(100, 2), (103, 3), (103, 6), (105, 1)}
+    assert all(r["edits"] == 0 for r in got.values())
+    assert len(text) // 128 <= got[105, 1]["passages"] <= len(text) // 64 and (got[105, 1]["start"], got[105, 1]["end"]) == (0, len(text))
+    assert {r["doc_id"] for r in decontaminate.clean(frame(spark, rows), items).collect()} == {101, 102, 104}
+
+
 def test_alignment_counts_edits():
     rng = random.Random(5)
     for _ in range(60):
