@@ -1,19 +1,22 @@
-"""Roles of transcript lines by a hidden Markov model, and canonical rendering of turns.
+"""Turns and roles of raw transcripts by a hidden Markov model, and canonical rendering of the turns.
 
 Each line is observed as a symbol: which speaker's marker it begins with, if any (``User:``, ``### Response``,
 ``<|assistant|>``, ``Q:`` ...), joined with features of the line (a question mark at its end, how many words, whether it
 is blank). The hidden states are the roles, each as first line of a turn and as a later line. Transition and emission
-probabilities are counted over all labelled turns; the Viterbi path through all lines of a conversation gives the roles.
-
-Conversations are cut into segments of bounded length. A conversation of several segments is solved exactly without
-being gathered: the best weights between any two states at the ends of a segment form a small matrix, matrices of a
-conversation are combined in order, and that fixes the states at each segment's borders, between which each segment is
-then solved on its own. Short conversations are solved together, many at a time.
-
-Defined results: rows equal in conversation, turn, role and text are one turn, with their number in ``n_rows``; turns equal
-in number are ordered by a hash of their texts; a null turn counts as turn 0; a row without a conversation is a
-conversation of its own; a null text is one blank line; a role other than the three known ones is taken as unknown; other
-columns are ignored. Without any labelled turn all states are equally likely, and lines follow their markers.
+probabilities are counted over labelled transcripts (:func:`train`). :func:`parse` takes texts alone: the Viterbi path
+through all lines of a transcript gives its turns. One begins where the path says so, or where the role changes.
+
+Transcripts of many lines are cut into segments of bounded length and solved exactly by them: the best weights between
+any two states at the ends of a segment form a small matrix, matrices of a transcript are combined in order, and that
+fixes the states at each segment's borders, between which each segment is then solved on its own. Short transcripts are
+solved together, many at a time.
+
+The query (:func:`recover`) writes labelled turns as transcripts, one text for each conversation, trains on them, parses the
+texts, and then looks up which parsed turns hold the lines of each true one. Defined results: rows equal in conversation,
+turn, role and text are one turn, with their number in ``n_rows``; turns equal in number are ordered by a hash of their
+texts; a null turn counts as turn 0; a row without a conversation is a conversation of its own; a null text is one blank
+line; a role other than the three known ones is taken as unknown; other columns are ignored. Without any labelled turn all
+states are equally likely, and lines follow their markers.
 """
 
 from __future__ import annotations
@@ -47,8 +50,8 @@ STYLES = (
 STATES = 2 * len(ROLES)  # by role: first line of a turn, later line
 FEATURES = 10
 SYMBOLS = (len(ROLES) + 1) * FEATURES
-#: Turns in a segment, and lines of one turn that make a segment of their own.
-TURNS = 64
+#: Lines in a segment.
+LINES = 256
 
 
 def _pattern(role: str) -> str:
@@ -80,69 +83,44 @@ def transcripts(turns: DataFrame) -> DataFrame:
     return turns.withColumn("raw", F.concat(mark, F.coalesce("text", F.lit(""))))
 
 
-def _segments(turns: DataFrame) -> DataFrame:
-    """Turns with ``segment`` and ``part``: order within a conversation is by (segment, part, turn, tie)."""
-    turns = turns.withColumn("segment", F.floor(F.coalesce("turn", F.lit(0)) / TURNS)).withColumn("tie", F.xxhash64("role", "text"))
-    crowded = turns.groupBy("conv", "segment").agg(F.count("*").alias("n")).filter(F.col("n") > 4 * TURNS)
-    crowded = scratch.table(crowded.select(F.col("conv").alias("_conv"), F.col("segment").alias("_segment"), F.ceil(F.col("n") / TURNS).alias("parts")))
-    joined = turns.join(crowded, (F.col("conv") == F.col("_conv")) & (F.col("segment") == F.col("_segment")), "left").drop("_conv", "_segment")
-    within = F.floor((F.shiftrightunsigned("tie", 33) * F.col("parts")) / F.lit(float(1 << 31)))
-    return joined.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.coalesce("turn", F.lit(0)) % TURNS * F.col("parts") + within).cast("long")).drop("parts")
-
+def observe(transcripts: DataFrame) -> DataFrame:
+    """Transcripts with ``symbols``, what is observed of each line of ``text``."""
+    return transcripts.withColumn("symbols", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), symbol))
 
-def _in_order(df: DataFrame) -> DataFrame:
-    keys = ("conv", "segment", "part")
-    return df.repartition(scratch.partitions(df.sparkSession), *keys).sortWithinPartitions(*keys, "turn", "tie")
-
-
-def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole segments with the segments' edges."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]) if rest is not None else table
-        if not table.num_rows:
-            continue
-        edge = _edges(table)
-        if len(edge) > 2:
-            yield table.slice(0, edge[-2]), edge[:-1]
-        rest = table.slice(edge[-2])
-    if rest is not None and rest.num_rows:
-        yield rest, _edges(rest)
 
+def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The members of all lists of a column, and where each list begins."""
+    return column.flatten(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
 
-def _edges(table: pa.Table) -> np.ndarray:
-    keys = list(zip(*(table.column(c).to_pylist() for c in ("conv", "segment", "part"))))
-    return np.array([0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)])
 
-
-def _lines(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all lines, and each turn's first line."""
-    column = table.column("symbols").combine_chunks()
-    n = np.array([len(x) for x in column.to_pylist()])
-    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(n)])
+def _symbols(column: pa.Array) -> list[np.ndarray]:
+    flat, edge = _lists(column)
+    return np.split(flat.to_numpy(zero_copy_only=False), edge[1:-1]) if len(column) else []
 
 
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     emit, move = np.zeros((STATES, SYMBOLS), np.int64), np.zeros((STATES, STATES), np.int64)
-    for table, edge in _sequences(batches):
-        role = np.array([ROLES.index(r) if r in ROLES else -1 for r in table.column("role").to_pylist()])
-        symbols, first = _lines(table)
-        state = np.repeat(role * 2, np.diff(first)) + 1
-        state[first[:-1]] -= 1
-        known = np.repeat(role >= 0, np.diff(first))
+    for batch in batches:
+        flat, edge = _lists(batch.column("symbols"))
+        symbols = flat.to_numpy(zero_copy_only=False)
+        role = np.array([ROLES.index(r) if r in ROLES else -1 for r in _lists(batch.column("roles"))[0].to_pylist()], np.int64)
+        size = _lists(batch.column("sizes"))[0].to_numpy(zero_copy_only=False)
+        state = np.repeat(role * 2, size) + 1
+        state[np.cumsum(size) - size] -= 1
+        known = np.repeat(role >= 0, size)
         np.add.at(emit, (state[known], symbols[known]), 1)
         inner = np.ones(len(symbols), bool)
-        inner[first[edge[:-1]]] = False  # nothing goes before a segment's first line
+        inner[edge[:-1]] = False  # nothing goes before a transcript's first line
         at = np.flatnonzero(inner & known & np.concatenate([[False], known[:-1]]))
         np.add.at(move, (state[at - 1], state[at]), 1)
     rows = [(0, i, j, int(emit[i, j])) for i, j in zip(*np.nonzero(emit))] + [(1, i, j, int(move[i, j])) for i, j in zip(*np.nonzero(move))]
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["kind", "i", "j", "n"])
 
 
-def train(turns: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Logarithms of emission and transition probabilities, counted over all labelled turns."""
-    counted = _in_order(turns.select("conv", "segment", "part", "turn", "tie", "role", "symbols")).mapInArrow(_count_task, "kind long, i long, j long, n long")
+def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of emission and transition probabilities, counted over transcripts whose turns are known: ``symbols`` of
+    all lines, and of each turn its role (``roles``) and its lines (``sizes``)."""
+    counted = labelled.select("symbols", "roles", "sizes").mapInArrow(_count_task, "kind long, i long, j long, n long")
     emit, move = np.full((STATES, SYMBOLS), 0.1), np.full((STATES, STATES), 0.1)
     for r in counted.groupBy("kind", "i", "j").agg(F.sum("n").alias("n")).collect():  # as many as the matrices have fields
         (move if r["kind"] else emit)[r["i"], r["j"]] += r["n"]
@@ -193,19 +171,17 @@ def paths(symbols: list[np.ndarray], emit: np.ndarray, move: np.ndarray, before:
 
 def _weigh_task(emit: np.ndarray, move: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, edge in _sequences(batches):
-            symbols, first = _lines(table)
-            at = edge[:-1].tolist()
-            body = [weights(symbols[first[a] : first[z]], emit, move).tobytes() for a, z in zip(at, edge[1:].tolist())]
-            names = ["conv", "segment", "part"]
-            yield pa.RecordBatch.from_arrays([*(table.column(c).take(pa.array(at)).combine_chunks() for c in names), pa.array(body, pa.binary())], [*names, "weights"])
+        for batch in batches:
+            body = [weights(x, emit, move).tobytes() for x in _symbols(batch.column("symbols"))]
+            yield pa.RecordBatch.from_arrays([batch.column("conv"), batch.column("segment"), pa.array(body, pa.binary())], ["conv", "segment", "weights"])
 
     return run
 
 
 def _borders(key: tuple, table: pa.Table) -> pa.Table:
-    """States around each segment of a conversation on its best path."""
-    table = table.sort_by([("segment", "ascending"), ("part", "ascending")])
+    """States around each segment of a transcript on its best path."""
+    names = [c for c in table.column_names if c != "weights"]
+    table = table.sort_by([("segment", "ascending")])
     matrices = [np.frombuffer(x, float).reshape(STATES, STATES) for x in table.column("weights").to_pylist()]
     best, back = np.where(np.arange(STATES) % 2 == 0, 0.0, -30.0), []
     for i, m in enumerate(matrices):
@@ -216,42 +192,121 @@ def _borders(key: tuple, table: pa.Table) -> pa.Table:
     for b in back[:0:-1]:
         last.append(int(b[last[-1]]))
     last.reverse()
-    return pa.table([*(table.column(c) for c in ("conv", "segment", "part")), pa.array([-1, *last[:-1]], pa.int32()), pa.array(last, pa.int32())], ["_conv", "_segment", "_part", "before", "last"])
+    return pa.table([*(table.column(c) for c in names), pa.array([-1, *last[:-1]], pa.int32()), pa.array(last, pa.int32())], [*(f"_{c}" for c in names), "before", "last"])
+
 
+def _solve_task(emit: np.ndarray, move: np.ndarray, keep: tuple[str, ...]):
+    """``states`` (a byte for each line) of whole transcripts, or of segments between known states."""
 
-def _solve_task(emit: np.ndarray, move: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, edge in _sequences(batches):
-            symbols, first = _lines(table)
-            before, last = (table.column(c).to_numpy()[edge[:-1]].tolist() for c in ("before", "last"))
-            found = paths([symbols[first[a] : first[z]] for a, z in zip(edge[:-1], edge[1:])], emit, move, before, last)
-            state = np.concatenate(found)[first[:-1]]
-            roles = [ROLES[i] for i in (state // 2).tolist()]
-            keep = ["conv_id", "turn", "role", "text", "n_rows", "raw"]
-            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in keep), pa.array(roles), pa.array(state % 2 == 0)], [*keep, "role_pred", "starts"])
+        for batch in batches:
+            before, last = (batch.column(c).to_pylist() if c in batch.schema.names else [-1] * batch.num_rows for c in ("before", "last"))
+            found = paths(_symbols(batch.column("symbols")), emit, move, before, last)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([x.astype(np.int8).tobytes() for x in found], pa.binary())], [*keep, "states"])
 
     return run
 
 
-def recover(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Write turns as transcripts, recover the roles, and render the turns: conversation, ``turn``, ``role``, ``n_rows``,
-    ``role_pred``, ``starts`` (whether a turn was seen to begin there), ``rendered``."""
+def cut(states: np.ndarray) -> np.ndarray:
+    """First lines of the turns: where the path begins one, or the role changes."""
+    first = states % 2 == 0
+    first[0] = True
+    first[1:] |= states[1:] // 2 != states[:-1] // 2
+    return np.flatnonzero(first)
+
+
+def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"first": pa.int64(), "lines": pa.int64(), "role": pa.string(), "body": pa.string()}
+    for batch in batches:
+        out, edge = {c: [] for c in kinds}, [0]
+        for text, states in zip(batch.column("text").to_pylist(), batch.column("states").to_pylist()):
+            path, lines = np.frombuffer(states, np.int8).copy(), (text or "").split("\n")
+            first = cut(path)
+            bounds = [*first.tolist(), len(lines)]
+            out["first"] += bounds[:-1]
+            out["lines"] += np.diff(bounds).tolist()
+            out["role"] += [ROLES[i] for i in (path[first] // 2).tolist()]
+            out["body"] += ["\n".join(lines[a:z]) for a, z in zip(bounds, bounds[1:])]
+            edge.append(len(out["first"]))
+        members = pa.StructArray.from_arrays([pa.array(out[c], t) for c, t in kinds.items()], list(kinds))
+        yield pa.RecordBatch.from_arrays([batch.column("conv"), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), members)], ["conv", "turns"])
+
+
+def _turns(seen: DataFrame, emit: np.ndarray, move: np.ndarray) -> DataFrame:
+    """Turns of observed transcripts (``conv``, a key; ``text``; ``symbols``): ``conv``, ``first``, ``lines``, ``role``,
+    ``rendered``."""
+    seen, n = seen.select("conv", "text", "symbols"), F.size("symbols")
+    short = seen.filter(n <= LINES).mapInArrow(_solve_task(emit, move, ("conv", "text")), "conv long, text string, states binary")
+    part = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / LINES).cast("int")), lambda i: F.struct(i.cast("long").alias("segment"), F.slice("symbols", i * LINES + 1, LINES).alias("symbols")))
+    pieces = seen.filter(n > LINES).select("conv", F.explode(part).alias("x")).select("conv", "x.segment", "x.symbols")
+    pieces = scratch.table(pieces.repartition(scratch.partitions(seen.sparkSession), "conv", "segment"))
+    weighed = pieces.mapInArrow(_weigh_task(emit, move), "conv long, segment long, weights binary")
+    borders = weighed.groupBy("conv").applyInArrow(_borders, "_conv long, _segment long, before int, last int")
+    bound = pieces.join(borders, (F.col("conv") == F.col("_conv")) & (F.col("segment") == F.col("_segment"))).drop("_conv", "_segment")
+    solved = bound.mapInArrow(_solve_task(emit, move, ("conv", "segment")), "conv long, segment long, states binary")
+    whole = solved.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("segment", "states"))).alias("x"))
+    whole = whole.select(F.col("conv").alias("_conv"), F.aggregate("x", F.lit(b""), lambda a, x: F.concat(a, x["states"])).alias("states"))
+    long = seen.filter(n > LINES).join(whole, F.col("conv") == F.col("_conv")).select("conv", "text", "states")
+    body = F.regexp_replace(unmarked(F.col("body")), r"^\s+|\s+$", "")
+    each = short.unionByName(long).mapInArrow(_cut_task, "conv long, turns array<struct<first: long, lines: long, role: string, body: string>>")
+    return each.select("conv", F.inline("turns")).withColumn("rendered", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), body, F.lit("\n<|end|>\n"))).drop("body")
+
+
+def parse(transcripts: DataFrame, emit: np.ndarray, move: np.ndarray, id: str = "conv_id", text: str = "text") -> DataFrame:
+    """Turns of raw transcripts, given the tables of :func:`train`: transcript, ``first`` (its first line, from 0), ``lines``
+    (how many), ``role``, ``rendered``. Repeated rows yield repeated turns; a null text is one blank line."""
+    rows = transcripts.select(F.monotonically_increasing_id().alias("conv"), F.col(id).alias("_id"), F.col(text).alias("text"))
+    seen = scratch.table(observe(rows))  # read several times
+    named = seen.select(F.col("conv").alias("_conv"), "_id")
+    return _turns(seen, emit, move).join(named, F.col("conv") == F.col("_conv")).select(F.col("_id").alias(id), "first", "lines", "role", "rendered")
+
+
+def _hold_task(names: list[str]):
+    """For each true turn the parsed turns that hold its lines; both are in order, so one pass pairs them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, out = [], []
+            for k, (spans, turns) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("turns").to_pylist())):
+                at = i = 0
+                for span in spans:
+                    end = at + span["size"]
+                    while turns[i]["first"] + turns[i]["lines"] <= at:
+                        i += 1
+                    z = i
+                    while z < len(turns) and turns[z]["first"] < end:
+                        z += 1
+                    row.append(k)
+                    out.append((span["turn"], span["role"], span["n_rows"], turns[i]["role"], turns[i]["first"] == at, "".join(t["rendered"] for t in turns[i:z])))
+                    at = end
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id").take(pa.array(row, pa.int64())), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], names)
+
+    return run
+
+
+def written(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Labelled turns as one transcript for each conversation: ``conv_id``, ``text``, and by turn ``spans`` (turn, role,
+    rows, lines)."""
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n_rows"))
     alone = F.concat(F.lit("row "), F.xxhash64("turn", "role", "text").cast("string"))
     raw = transcripts(rows.withColumn("conv", F.coalesce(F.concat(F.lit("id "), F.col("conv_id").cast("string")), alone)))
-    seen = scratch.table(_segments(raw.withColumn("symbols", F.transform(F.split("raw", "\n"), symbol))))  # read three times
-    emit, move = train(seen)
-
-    sizes = seen.select("conv", "segment", "part").distinct()
-    several = scratch.table(sizes.groupBy("conv").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("conv").alias("_long")))
-    long = seen.join(several, F.col("conv") == F.col("_long"), "left_semi").select("conv", "segment", "part", "turn", "tie", "symbols")
-    kinds = "segment long, part long"
-    weighed = _in_order(long).mapInArrow(_weigh_task(emit, move), f"conv string, {kinds}, weights binary")
-    borders = scratch.table(weighed.groupBy("conv").applyInArrow(_borders, "_conv string, _segment long, _part long, before int, last int"))
-    bound = seen.join(borders, (F.col("conv") == F.col("_conv")) & (F.col("segment") == F.col("_segment")) & (F.col("part") == F.col("_part")), "left").drop("_conv", "_segment", "_part")
-    bound = bound.withColumns({"before": F.coalesce("before", F.lit(-1)), "last": F.coalesce("last", F.lit(-1))})
+    one = F.struct(F.coalesce("turn", F.lit(0)).alias("at"), F.xxhash64("role", "text").alias("tie"), "turn", "role", "n_rows", "raw", F.size(F.split("raw", "\n")).alias("size"))
+    whole = raw.groupBy("conv").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(one)).alias("x"))
+    span = lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), x["n_rows"].alias("n_rows"), x["size"].alias("size"))
+    return whole.select("conv_id", F.array_join(F.transform("x", lambda x: x["raw"]), "\n").alias("text"), F.transform("x", span).alias("spans"))
+
+
+def recover(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Write turns as transcripts, parse those, and look up the true turns: conversation, ``turn``, ``role``, ``n_rows``,
+    ``role_pred`` (of its first line), ``starts`` (whether a parsed turn begins there), ``rendered`` (the parsed turns that
+    hold its lines)."""
+    told = scratch.table(observe(written(turns, conv, turn, role, text).withColumn("conv", F.monotonically_increasing_id())))  # read several times
+    emit, move = train(told.withColumns({"roles": F.col("spans.role"), "sizes": F.col("spans.size")}))
+    found = _turns(told, emit, move).groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("first", "lines", "role", "rendered"))).alias("turns"))
+    truth = told.select(F.col("conv").alias("_conv"), "conv_id", "spans")
+    joined = found.join(truth, F.col("conv") == F.col("_conv")).select("conv_id", "spans", "turns")
+    names = [conv, "turn", "role", "n_rows", "role_pred", "starts", "rendered"]
     kind = turns.schema[conv].dataType.simpleString()
-    solved = _in_order(bound).mapInArrow(_solve_task(emit, move), f"conv_id {kind}, turn long, role string, text string, n_rows long, raw string, role_pred string, starts boolean")
-    body = F.regexp_replace(unmarked(F.col("raw")), r"^\s+|\s+$", "")
-    return solved.select(F.col("conv_id").alias(conv), "turn", "role", "n_rows", "role_pred", "starts", F.concat(F.lit("<|"), F.col("role_pred"), F.lit("|>\n"), body, F.lit("\n<|end|>\n")).alias("rendered"))
+    return joined.mapInArrow(_hold_task(names), f"`{conv}` {kind}, turn long, role string, n_rows long, role_pred string, starts boolean, rendered string")

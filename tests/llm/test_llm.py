@@ -322,6 +322,31 @@ def test_chat_edge_cases(spark):
     assert chat.recover(spark.createDataFrame([], shape)).count() == 0
 
 
+def test_chat_parses_raw_transcripts(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    told = chat.observe(chat.written(turns)).withColumns({"roles": F.col("spans.role"), "sizes": F.col("spans.size")})
+    tables = chat.train(told)
+    lines = [("system", "### Context\nBe brief."), ("user", "### Instruction\nWhat is rain?\nTell me more of it."), ("assistant", "### Response\nWater.")]
+    long = lines[:1] + lines[1:] * 400
+    raw = [(1, "\n".join(t for _, t in lines)), (2, "\n".join(t for _, t in long)), (3, None), (1, "\n".join(t for _, t in lines))]
+    got = chat.parse(spark.createDataFrame(raw, "conv_id long, text string"), *tables).orderBy("conv_id", "first").collect()
+    for i, want, copies in ((1, lines, 2), (2, long, 1)):
+        own = [r for r in got if r["conv_id"] == i][::copies]
+        assert [r["role"] for r in own] == [r for r, _ in want]
+        assert [r["rendered"] for r in own] == [f"<|{r}|>\n{t.split(chr(10), 1)[1]}\n<|end|>\n" for r, t in want]
+    assert len(got) == 2 * len(lines) + len(long) + 1
+    # a role's change inside a row is a turn of its own; every line is rendered
+    one = [(10**6, 0, "user", "Hello there\nUser: What is rain?\nAssistant: Water.\nUser: And what is snow?\nAssistant: Ice.")]
+    more = turns.select("conv_id", "turn", "role", "text").unionByName(spark.createDataFrame(one, "conv_id long, turn long, role string, text string"))
+    row = next(r for r in chat.recover(more).collect() if r["conv_id"] == 10**6)
+    assert row["rendered"].count("<|end|>") > 1 and "<|assistant|>\nIce.\n<|end|>\n" in row["rendered"]
+    assert all(x in row["rendered"] for x in ("Hello there", "What is rain?", "Water.", "And what is snow?"))
+
+
+def test_chat_cuts_turns_by_states():
+    assert chat.cut(np.array([2, 3, 2, 3, 5, 4, 1])).tolist() == [0, 2, 4, 5, 6] and chat.cut(np.array([3])).tolist() == [0]
+
+
 def test_markers(spark):
     lines_ = ["User: hi", "**Assistant:** yes", "### Instruction", "<|system|>", "[AI]", "Q: what?", "a quick fox", "users: three", "", "Answer: x"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in lines_], "x string").select(chat.symbol(F.col("x")) / chat.FEATURES).collect()]
