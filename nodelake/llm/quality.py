@@ -3,10 +3,12 @@
 Each document gets counts from its words and lines. Four rates derived from them are summarised by KLL quantile sketches
 for each (language, source). Sketches merge, so a pair with few documents takes the thresholds of its language, and a
 language with few those of all documents, without another look at the data. A rate is out of bounds if it lies more
-than ``reach`` interquartile ranges beyond the quartiles. The thresholds are joined back to the documents.
+than ``reach`` interquartile ranges beyond the quartiles. Most documents have no symbols or repeats at all, so for the
+rates of those the bound is the group's ``upper`` quantile where that is higher, and ``events`` more symbols, lines or
+repeated windows in a document of the group's median size. The thresholds are joined back to the documents.
 
 Defined results: a null text has no words; null languages and sources form groups of their own; a document without
-words fails the base rules; rates of documents with words only enter the sketches; other columns are ignored.
+words fails the base rules; only documents that pass the base rules enter the sketches; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +32,12 @@ class Rules:
     reach: float = 6.0
     least_rows: int = 100  # of a group that has thresholds of its own
     accuracy: int = 400  # k of the sketches
+    upper: float = 0.9  # quantile; a group may hold as much junk beyond it
+    events: int = 3
     #: Rates and the least interquartile range that is assumed for each.
-    rates: dict[str, float] = field(default_factory=lambda: {"word_length": 0.5, "symbol_rate": 0.05, "dup_line_rate": 0.08, "repeat_rate": 0.05})
+    rates: dict[str, float] = field(default_factory=lambda: {"word_length": 0.5, "symbol_rate": 0.0, "dup_line_rate": 0.0, "repeat_rate": 0.0})
+    #: What a rate is a part of.
+    units: dict[str, str] = field(default_factory=lambda: {"symbol_rate": "n_words", "dup_line_rate": "n_lines", "repeat_rate": "n_words"})
     two_sided: tuple[str, ...] = ("word_length",)
 
 
@@ -81,10 +87,15 @@ def _rates(df: DataFrame) -> DataFrame:
     })
 
 
+def _base_failed(rules: Rules) -> Column:
+    return (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated * F.col("n_words"))
+
+
 def thresholds(rated: DataFrame, rules: Rules, lang: str, source: str) -> DataFrame:
     """By language and source, ``<rate>_low`` and ``<rate>_high`` of each rate."""
-    names = list(rules.rates)
-    own = rated.groupBy(F.col(lang).alias("_lang"), F.col(source).alias("_source")).agg(F.count(names[0]).alias("_n"), *(F.kll_sketch_agg_double(r, rules.accuracy).alias(r) for r in names))
+    names = [*rules.rates, *sorted(set(rules.units.values()))]
+    of = lambda c: F.when(~_base_failed(rules), F.col(c).cast("double"))
+    own = rated.groupBy(F.col(lang).alias("_lang"), F.col(source).alias("_source")).agg(F.count(of(names[0])).alias("_n"), *(F.kll_sketch_agg_double(of(r), rules.accuracy).alias(r) for r in names))
     own = scratch.table(own)  # one row for each group
 
     def merged(*by: str) -> DataFrame:
@@ -93,9 +104,14 @@ def thresholds(rated: DataFrame, rules: Rules, lang: str, source: str) -> DataFr
     def bounds(df: DataFrame, prefix: str, *by: str) -> DataFrame:
         out = [F.col("_n").alias(f"{prefix}n")]
         for r, least in rules.rates.items():
-            q = F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double(r, F.array(F.lit(0.25), F.lit(0.75))))
+            q = F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double(r, F.array(F.lit(0.25), F.lit(0.75), F.lit(rules.upper))))
             width = F.greatest(F.get(q, F.lit(1)) - F.get(q, F.lit(0)), F.lit(least)) * rules.reach
-            out += [(F.get(q, F.lit(0)) - width).alias(f"{prefix}{r}_low"), (F.get(q, F.lit(1)) + width).alias(f"{prefix}{r}_high")]
+            high = F.get(q, F.lit(1)) + width
+            if r in rules.units:
+                size = F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double(rules.units[r], F.lit(0.5)))
+                event = 2 * rules.window if r == "repeat_rate" else 1  # words of a window and its copy
+                high = F.greatest(high, F.get(q, F.lit(2))) + F.lit(float(rules.events * event)) / size
+            out += [(F.get(q, F.lit(0)) - width).alias(f"{prefix}{r}_low"), high.alias(f"{prefix}{r}_high")]
         return df.select(*by, *out)
 
     of_pair = bounds(own, "p_", "_lang", "_source")
@@ -103,14 +119,14 @@ def thresholds(rated: DataFrame, rules: Rules, lang: str, source: str) -> DataFr
     of_all = bounds(merged(), "a_")
     joined = of_pair.join(of_lang, F.col("_lang").eqNullSafe(F.col("_lang2"))).join(F.broadcast(of_all))  # one row
     pick = lambda c: F.when(F.col("p_n") >= rules.least_rows, F.col(f"p_{c}")).when(F.col("l_n") >= rules.least_rows, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    return joined.select("_lang", "_source", *(pick(f"{r}_{side}").alias(f"{r}_{side}") for r in names for side in ("low", "high")))
+    return joined.select("_lang", "_source", *(pick(f"{r}_{side}").alias(f"{r}_{side}") for r in rules.rates for side in ("low", "high")))
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """id, the counts of :func:`features`, ``base_failed`` and ``kept``."""
     rated = _rates(scratch.table(features(docs, rules, id, text, lang, source)))
     limits = thresholds(rated, rules, lang, source)
-    failed = (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated * F.col("n_words"))
+    failed = _base_failed(rules)
     inside = F.lit(True)
     for r in rules.rates:
         inside &= F.coalesce(F.col(r) <= F.col(f"{r}_high"), F.lit(True))

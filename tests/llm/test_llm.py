@@ -255,6 +255,24 @@ def test_quality_thresholds_follow_the_group(spark):
     assert not got[5000]["kept"]
 
 
+def test_quality_bounds_differ_by_group_for_each_rate(spark):
+    words = lambda i, n: [f"tok{i}x{k}" for k in range(n)]
+    plain = lambda i: "\n".join(" ".join(words(f"{i}y{k}", 10)) for k in range(20))
+    lively = lambda i: "\n".join([*(" ".join([*words(f"{i}y{k}", 9), "#" * (1 + i % 3)]) for k in range(16)), " ".join(words(i, 12)), " ".join(words(i, 12))])
+    odd = [
+        (1000, "\n".join(" ".join([*words(f"o{k}", 9), "###"]) for k in range(20)), "en", "plain"),  # 0.3 symbols a word
+        (1001, "\n".join([*(" ".join(words(f"p{k}", 60)) for k in range(8)), *(f"line{k}" for k in range(4) for _ in range(3))]), "en", "plain"),  # 40 % duplicate lines
+        (1002, " ".join([*words("q", 25), *words("q", 25), *words("r", 130)]), "en", "plain"),  # 28 % repeated words
+    ]
+    rows = [(i, plain(i), "en", "plain") for i in range(150)] + [(500 + i, lively(i), "en", "lively") for i in range(150)] + odd
+    table = frame(spark, rows)
+    got = by_id(quality.judge(table))
+    assert all(got[i]["kept"] for i in [*range(150), *range(500, 650)])
+    assert not any(got[i]["kept"] or got[i]["base_failed"] for i, *_ in odd)
+    limits = {r["_source"]: r for r in quality.thresholds(quality._rates(quality.features(table)), quality.Rules(), "lang", "source").collect()}
+    assert all(limits["plain"][f"{r}_high"] < limits["lively"][f"{r}_high"] for r in ("symbol_rate", "dup_line_rate", "repeat_rate"))
+
+
 def test_bpe(spark, table, docs, empty):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
