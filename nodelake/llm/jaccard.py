@@ -159,9 +159,10 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _sides(side: np.ndarray) -> np.ndarray:
-    """Which pairs of a group are its own to look at: all in a block with itself, else those between the two blocks."""
-    return side[:, None] != side[None, :] if side.any() and not side.all() else ~np.eye(len(side), dtype=bool)
+def _sides(side: np.ndarray, i: int, j: int) -> np.ndarray:
+    """Which pairs of a group are its own to look at: all in a block with itself, else those between the two blocks (none
+    if one of them is empty)."""
+    return side[:, None] != side[None, :] if i != j else ~np.eye(len(side), dtype=bool)
 
 
 def _near_task(s: Settings, hashes: int):
@@ -171,9 +172,12 @@ def _near_task(s: Settings, hashes: int):
         for table, edge in _groups(batches, 3):
             texts = table.column("text").to_pylist()
             signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, hashes)
-            side = table.column("side").to_numpy()
+            side, i_of, j_of = (table.column(c).to_numpy() for c in ("side", "i", "j"))
             a, b = [], []
             for first, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                apart = i_of[first] != j_of[first]
+                if apart and (side[first:end] == side[first]).all():
+                    continue  # the other block is empty; links inside this one are another task's
                 if end - first == 2:
                     if (signature[first] == signature[first + 1]).sum() >= least:
                         a.append(texts[first])
@@ -185,7 +189,7 @@ def _near_task(s: Settings, hashes: int):
                     agree += (own[:, None, j : j + 8] == own[None, :, j : j + 8]).sum(2, dtype=np.int32)
                 linked, sides = (agree >= least) & ~np.eye(len(own), dtype=bool), side[first:end]
                 inside = root_of = _roots(linked & (sides[:, None] == sides[None, :]))
-                if sides.any() and not sides.all():  # links inside each block are another task's; here only what joins them
+                if apart:  # links inside each block are another task's; here only what joins them
                     root_of = np.where(inside == np.arange(len(own)), _roots(linked), np.arange(len(own)))
                 for i, root in enumerate(root_of.tolist()):
                     if root != i:
@@ -199,13 +203,17 @@ def _near_task(s: Settings, hashes: int):
 def _verify_task(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edge in _groups(batches, 3):
-            names, side, copies = table.column("text").to_pylist(), table.column("side").to_numpy(), table.column("copies").to_numpy()
+            names, copies = table.column("text").to_pylist(), table.column("copies").to_numpy()
+            side, i_of, j_of = (table.column(c).to_numpy() for c in ("side", "i", "j"))
             out: list[tuple] = []
             for first, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                own = _sides(side[first:end], int(i_of[first]), int(j_of[first]))
+                if not own.any():
+                    continue
                 code, size = _sets(table.column("body").slice(first, end - first), s.shingle)
                 both = _shared(code, size)
                 n = size[:, None] + size[None, :]
-                linked = (both * (1 + s.similarity) >= s.similarity * n - 1e-9) & _sides(side[first:end])
+                linked = (both * (1 + s.similarity) >= s.similarity * n - 1e-9) & own
                 links = linked @ copies[first:end]
                 order = sorted(range(end - first), key=lambda i: names[first + i])
                 root = np.empty(end - first, np.int64)

@@ -171,6 +171,14 @@ def test_jaccard_of_large_groups_and_repeated_rows(spark):
     assert twice.count() == 1
 
 
+def test_jaccard_with_empty_blocks(spark):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(10 * g + k, " ".join([f"g{g}", *(f"{g}{w}" for w in words[:150]), f"own{k}", *(f"{g}{w}" for w in words[150:])]), "en", "s") for g in range(12) for k in range(1 + g % 3)]
+    want = brute.jaccard([(i, t) for i, t, _, _ in rows])
+    for s in (jaccard.Settings(bytes=500), jaccard.Settings(bytes=2000), jaccard.Settings(node=1)):
+        assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.report(frame(spark, rows), s).collect()} == want
+
+
 def test_forest_depth():
     s = jaccard.Settings()
     k = jaccard.depth(s)
