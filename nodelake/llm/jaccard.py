@@ -1,10 +1,12 @@
-"""Similarity join of documents on word shingles by a MinHash LSH forest and exact verification.
+"""Similarity join of documents on word shingles by MinHash LSH with fixed bands and exact verification.
 
 A document's set holds its shingles of ``Settings.shingle`` words (one shingle of all words if it has fewer). Documents
-with equal sets form a *text*, and from here on a text stands for its copies, however many. Texts get MinHash signatures.
-Each tree of the forest sorts the texts by a sequence of minima of its own; texts that share a prefix meet in a trie node.
-Prefixes are shortened from ``Settings.longest`` minima until a pair at the similarity threshold shares one in some tree
-with the probability ``Settings.recall`` (:func:`depth`). Nodes with two or more texts are what is looked at further.
+with equal sets form a *text*, and from here on a text stands for its copies, however many. Texts get MinHash signatures
+of ``Settings.trees`` bands; texts with the same minima in a band meet in a node. All bands hold the same number of minima:
+the most, up to ``Settings.longest``, with which a pair at the similarity threshold meets in some band with the probability
+``Settings.recall`` (:func:`depth`; 4 by default). This is not an LSH forest: no signatures are sorted and no prefixes
+shortened by what was matched, as that number follows from the settings alone. Nodes with two or more texts are what is
+looked at further.
 
 Texts in a node whose signatures agree well enough are linked; connected texts form a neighbourhood; and all pairs of a
 neighbourhood are verified exactly, by products of 0/1 matrices of its texts and shingles. Nodes and neighbourhoods of any
