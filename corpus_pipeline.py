@@ -1,4 +1,4 @@
-"""The stages that turn ``documents`` into encoded training text.
+"""The stages that turn ``documents`` into encoded training text, which the last of them decodes, too.
 
 Each stage reads all that the one before it kept, as a table, and applies one operator of ``nodelake.llm``.
 """
@@ -42,10 +42,12 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the whole texts."""
+    """Token ids of the whole texts, and the SHA-256 of the bytes that they decode to."""
     scratch.tune(spark)
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
+    both = bpe.decode(ids.drop("text"), path)
+    return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("language ID", language_id), ("line dedup", line_dedup), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", without_benchmark), ("byte-level BPE", encoded)]

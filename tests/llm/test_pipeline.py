@@ -31,3 +31,9 @@ def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns, name
+
+
+def test_last_stage_decodes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    want = {r["doc_id"]: brute.sha(r["text"]) for r in docs.collect()}
+    assert {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.encoded(spark, docs, SF).collect()} == want
