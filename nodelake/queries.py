@@ -196,6 +196,31 @@ def hit_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(nodes, query, 20).select("id", X.preview(F.col("content")).alias("preview"), X.score_text(F.round("score", 2)).alias("score"))
 
 
+def _many(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All nodes, and as queries the vectors whose ids are divisible by 50."""
+    nodes, _ = _vectors(spark, sf_dir)
+    return nodes, nodes.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def vector_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_many(*_many(spark, sf_dir)).select("query_id", "id", F.round("score", 5).alias("score"), "file_path", "start_line", "end_line", "signature")
+
+
+def vector_topk_filtered_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search_many(*_many(spark, sf_dir), 5, file_path="d3/", language="python", node_type="class", node_name="n3", has_documentation=True)
+    return found.select("query_id", "id", F.round("score", 5).alias("score"), "file_path", "language", "node_type", "node_name", "documentation")
+
+
+def hit_preview_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search_many(*_many(spark, sf_dir), 20)
+    return found.select("query_id", "id", X.preview(F.col("content")).alias("preview"), X.score_text(F.round("score", 2)).alias("score"))
+
+
+_SCORED_MANY = """(SELECT q.vec_id AS query_id, e.vec_id AS id, CAST(e.label AS BIGINT) AS label, list_sum(list_transform(range(1, 65), lambda i: CAST(e.embedding[i] AS DOUBLE) * q.embedding[i])) /
+  sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * x)) * list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x))) AS score FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q)"""
+_BEST = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)"
+
+
 def node_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, _ = _vectors(spark, sf_dir)
     cases = {"path": {"file_path": "d3/7"}, "directory": {"file_path": "d3/"}, "documented": {"has_documentation": True}, "undocumented": {"has_documentation": False}, "all": {"file_path": ""}}
@@ -297,6 +322,9 @@ SQL = {
     "vector_topk": f"SELECT id, score, 'd' || CAST(label AS VARCHAR) || '/' || CAST(id AS VARCHAR) AS file_path, label AS start_line, CAST(0 AS BIGINT) AS end_line, '' AS signature FROM {_SCORED} ORDER BY score DESC, id LIMIT 10",
     "vector_topk_filtered": f"SELECT id, score, 'd3/' || CAST(id AS VARCHAR) AS file_path, 'python' AS language, 'class' AS node_type, 'n3' AS node_name, 'doc' AS documentation FROM {_SCORED} WHERE label = 3 ORDER BY score DESC, id LIMIT 5",
     "hit_preview": f"SELECT id, 'vector ' || CAST(id AS VARCHAR) || ' of label ' || CAST(label AS VARCHAR) || '...' AS preview, printf('%.4f', round(score, 2)) AS score FROM (SELECT * FROM {_SCORED} ORDER BY score DESC, id LIMIT 20)",
+    "vector_topk_many": f"SELECT query_id, id, round(s, 5) AS score, 'd' || CAST(label AS VARCHAR) || '/' || CAST(id AS VARCHAR) AS file_path, label AS start_line, CAST(0 AS BIGINT) AS end_line, '' AS signature FROM (SELECT *, score AS s FROM {_SCORED_MANY} {_BEST} <= 10)",
+    "vector_topk_filtered_many": f"SELECT query_id, id, round(s, 5) AS score, 'd3/' || CAST(id AS VARCHAR) AS file_path, 'python' AS language, 'class' AS node_type, 'n3' AS node_name, 'doc' AS documentation FROM (SELECT *, score AS s FROM {_SCORED_MANY} WHERE label = 3 {_BEST} <= 5)",
+    "hit_preview_many": f"SELECT query_id, id, 'vector ' || CAST(id AS VARCHAR) || ' of label ' || CAST(label AS VARCHAR) || '...' AS preview, printf('%.4f', round(s, 2)) AS score FROM (SELECT *, score AS s FROM {_SCORED_MANY} {_BEST} <= 20)",
     "node_filters": "SELECT count(*) FILTER (label = 3 AND vec_id = 7) AS path, count(*) FILTER (label = 3) AS directory, count(*) FILTER (label <= 6) AS documented, count(*) FILTER (label > 6) AS undocumented, count(*) AS \"all\" FROM embeddings",
     "html_nodes": _HTML,
     "json_nodes": "SELECT event_id, 'object' AS node_type, 'root' AS node_name, 'root' AS path, CAST(1 AS BIGINT) AS start_line, CAST(1 AS BIGINT) AS end_line, CAST(strlen(props) AS BIGINT) AS end_byte, props AS content FROM events",
