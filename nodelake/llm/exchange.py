@@ -59,6 +59,23 @@ def merged(table: pa.Table) -> tuple[list[bytes], pa.Array, np.ndarray, np.ndarr
     return names, table.column("text").take(pa.array([order[d] for d in names])).combine_chunks(), *sums
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Batches sorted by ``key`` as tables in which no run of equal keys is cut."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        keys = table.column(key).to_numpy()
+        last = int(np.flatnonzero(keys[1:] != keys[:-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+        if last:
+            yield table.slice(0, last)
+        rest = table.slice(last)
+    if rest is not None:
+        yield rest
+
+
 def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's keys begin in sorted keys; a bucket is a range of the keys."""
     bounds = np.array([(b << 64) // buckets for b in range(buckets)], B.U)

@@ -1,17 +1,26 @@
 """Removal of repeated byte strings by longest-previous-factor arrays over sparse, truncated suffixes.
 
-Suffixes are compared on their first ``Settings.length`` bytes, which is all that matters for strings of that length. In
-the order of these prefixes (by fingerprint, then by place), suffixes with a common prefix of full length stand side by
-side with their places rising, so the previous smaller position of each is its left neighbour if the longest common prefix
-of the two has full length, and there is none otherwise; the next greater position is its right neighbour likewise. The
-longest previous factor of a place has full length if the former exists (a later copy), the longest next factor if the
-latter does (an earlier copy). A byte is removed if a string that starts at or before it and covers it is a later copy
-(``keep="first"``), or is a copy of any kind (``keep="none"``).
-
-Only suffixes that can have a copy enter the order. Each window of full length has an anchor: the place in its first
-``span`` bytes with the smallest fingerprint of a few bytes. Equal windows have equal anchors, and equal strings of
-``length - span + 1`` bytes from there. So blocks of texts first ask which strings at anchors occur twice, then which full
-windows do, of those whose anchor's string does. Both questions go through :mod:`.exchange`.
+The longest previous factor of a place is the longest string from there that starts at an earlier place, too. It follows
+from the suffix order: of the suffixes that start earlier, the longest common prefix is had with the one that stands nearest
+before (the previous smaller position) or behind (the next smaller position). Only strings of ``Settings.length`` bytes
+count, so suffixes are truncated to that many, and equal ones stand in the order of their places: the previous smaller
+position of a suffix then has a common prefix of full length if and only if it is its left neighbour, and no next smaller
+position has. The longest next factor, to later places, is the mirror image, with the right neighbour. A byte goes if it is
+covered by a string with an earlier copy (``keep="first"``: the first copy stays) or with any copy (``keep="none"``).
+
+No suffix meets others that it can't equal. Each string of full length has an anchor: the place in its first ``span`` bytes
+with the smallest fingerprint of ``gram`` bytes. Equal strings have equal anchors, and a common core of ``length - span + 1``
+bytes from there. The strings of a text with one anchor form a *part*, which holds about 1.4 times ``length`` bytes. So
+
+1. blocks of texts name the distinct cores of their parts, a row each, and those that occur once in the corpus are set aside;
+2. the parts of the others are gathered by core, equal parts once, with the number of their copies and their first place;
+3. the parts of a core are suffix-sorted together by prefix doubling, which gives factors as above. A core with more than
+   ``Settings.group`` different parts (a passage in countless contexts) is dealt out further, by its whole strings: what they
+   are (128 bits of MD5) takes the place of their order, and the least place and the number of copies that of the factors;
+4. answers go back to the blocks, which cut the texts.
+
+The rows of each exchange grow with the keys, not with the number of blocks. Fingerprints of 64 bits only choose who meets
+whom; bytes decide.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` lose nothing; matches never cross texts; rows
 with equal texts count as different places; with ``keep="first"``, of equal texts the one with the smallest id stays, and
@@ -21,10 +30,12 @@ the order of different texts is that of their digests; other columns are ignored
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,157 +47,232 @@ from . import scratch
 @dataclass(frozen=True)
 class Settings:
     length: int = 400  # bytes of a string that counts
-    span: int = 100  # bytes from a window's start in which its anchor lies
+    span: int = 300  # bytes from a string's start in which its anchor lies
     gram: int = 16  # bytes that an anchor is chosen by
     keep: str = "none"
     block: int | None = 8 << 20  # bytes of text in a block
+    group: int = 2048  # different parts that are suffix-sorted together, at most
+
+
+#: Bits of an anchor's key that hold its place, the same for all texts: equal strings must have equal anchors.
+PLACE = B.U(32)
 
 
 def anchors(raw: np.ndarray, off: np.ndarray, spans: B.Spans, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all windows that lie in one text, and the place of each one's anchor."""
+    """Starts of all strings of full length that lie in one text, and the place of each one's anchor."""
     n = len(raw) - s.length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     left = np.repeat(off[1:], np.diff(off))[:n] - np.arange(n)
     starts = np.flatnonzero(left >= s.length)
-    bits = B.U(len(raw).bit_length())
-    low = spans.windows(s.gram) >> bits << bits
+    low = spans.windows(s.gram) >> PLACE << PLACE
     low |= np.arange(len(low), dtype=B.U)
     width = 1
     while 2 * width <= s.span:
         low = np.minimum(low[: len(low) - width], low[width:])
         width *= 2
     low = np.minimum(low[starts], low[starts + s.span - width])
-    return starts, (low & ((B.U(1) << bits) - B.U(1))).astype(np.int64)
-
-
-class Block:
-    """A block's texts, their windows and the distinct strings at the windows' anchors."""
-
-    def __init__(self, table: pa.Table, s: Settings):
-        self.s = s
-        self.digests, self.column, self.rows, _ = X.merged(table)
-        self.runs = []
-        strings = []
-        for first, end, raw, off in B.steps(self.column):
-            spans = B.Spans(raw)
-            starts, anchor = anchors(raw, off, spans, s)
-            mark = np.zeros(len(raw) + 1, bool)
-            mark[anchor] = True
-            places = np.flatnonzero(mark)
-            strings.append(spans(places, places + s.length - s.span + 1))
-            weight = self.rows[first:end][B.text_of(off, places)]
-            self.runs.append((first, end, raw, off, starts, np.searchsorted(places, anchor), strings[-1], weight))
-        self.strings, self.twice = _distinct(strings, [r[-1] for r in self.runs])
-
-    def windows(self, answer: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Starts and fingerprints, by run, of the windows whose anchor's string occurs twice."""
-        out = []
-        for _, _, raw, _, starts, anchor, string, _ in self.runs:
-            good = answer[np.searchsorted(self.strings, string)][anchor] if len(self.strings) else np.zeros(0, bool)
-            at = starts[good]
-            out.append((at, B.Spans(raw)(at, at + self.s.length)))
-        return out
+    return starts, (low & ((B.U(1) << PLACE) - B.U(1))).astype(np.int64)
 
 
-def _distinct(keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys, and which of them stand at two places or more."""
-    every, weight = np.concatenate([np.zeros(0, B.U), *keys]), np.concatenate([np.zeros(0, np.int64), *weights])
-    order = np.argsort(every, kind="stable")
-    every, weight = every[order], weight[order]
-    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(every)), bool), every[1:] != every[:-1]]))
-    return every[first], (np.add.reduceat(weight, first) if len(first) else np.zeros(0, np.int64)) > 1
+class Parts:
+    """The parts of a run of texts: their first places, numbers of strings, cores' fingerprints, and texts."""
 
+    def __init__(self, raw: np.ndarray, off: np.ndarray, s: Settings):
+        spans = B.Spans(raw)
+        starts, anchor = anchors(raw, off, spans, s)
+        new = np.ones(len(starts), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
+        first = np.flatnonzero(new)
+        self.start, at = starts[first], anchor[first]
+        self.strings = np.diff(np.append(first, len(starts)))
+        self.core = spans(at, at + s.length - s.span + 1).view(np.int64)
+        self.text = B.text_of(off, self.start)
 
-_ASK = "bucket long, block long, kind int, body binary"
 
+def _name_cores(s: Settings):
+    """The distinct cores of a block, each with how often it occurs (2: or more)."""
 
-def _ask(block: int, keys: np.ndarray, twice: np.ndarray, buckets: int) -> pa.Table:
-    edge = X.bucket_edges(keys, buckets)
-    rows = [(b, a, z) for b, (a, z) in enumerate(zip(edge[:-1], edge[1:])) if z > a]
-    bodies = []
-    for _, a, z in rows:
-        packed = B.pack_sorted(keys[a:z])
-        bodies.append(len(packed).to_bytes(8, "little") + packed + np.packbits(twice[a:z]).tobytes())
-    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "kind": pa.array([0] * len(rows), pa.int32()), "body": pa.array(bodies, pa.binary())})
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        _, column, rows, _ = X.merged(table)
+        cores, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for first, _, raw, off in B.steps(column):
+            parts = Parts(raw, off, s)
+            cores.append(parts.core)
+            weights.append(rows[first + parts.text])
+        core, number = np.unique(np.concatenate(cores), return_inverse=True)
+        n = np.minimum(np.bincount(number, np.concatenate(weights), len(core)), 2).astype(np.int32)
+        return pa.table({"core": core, "block": pa.array([key[0].as_py()] * len(core), pa.int64()), "n": n})
 
+    return run
 
-def _answer(kind: int, keep: str):
-    """In a bucket: which of the keys that blocks sent have full-length neighbours in the order of suffixes."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        blocks, keys, twice = table.column("block").to_pylist(), [], []
-        for body in table.column("body").to_pylist():
-            n = int.from_bytes(body[:8], "little")
-            keys.append(B.unpack_sorted(body[8 : 8 + n]))
-            twice.append(np.unpackbits(np.frombuffer(body, np.uint8, offset=8 + n), count=len(keys[-1])).astype(bool))
-        every, flag = np.concatenate(keys), np.concatenate(twice)
-        order = np.argsort(every, kind="stable")  # equal keys stay in the order of blocks, that is, of places
-        common = np.zeros(len(every) + 1, bool)  # whether neighbours have a common prefix of full length
-        common[1:-1] = every[order[1:]] == every[order[:-1]]
-        previous, following = np.empty(len(every), bool), np.empty(len(every), bool)
-        previous[order], following[order] = common[:-1], common[1:]
-        found = previous if keep == "first" and kind else previous | following | flag
-        edge = np.cumsum([0, *(len(k) for k in keys)])
-        bodies = [np.packbits(found[a:z]).tobytes() for a, z in zip(edge[:-1], edge[1:])]
-        return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(blocks), pa.int64()), "kind": pa.array([kind] * len(blocks), pa.int32()), "body": pa.array(bodies, pa.binary())})
+def _list_parts(s: Settings):
+    """The parts of a block whose cores occur twice in the corpus."""
+    names = ["core", "block", "digest", "place", "n", "body"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+
+    def run(key: tuple, table: pa.Table, wanted: pa.Table) -> pa.Table:
+        digests, column, rows, _ = X.merged(table)
+        cores = np.sort(wanted.column("core").to_numpy())
+        out = []
+        for first, _, raw, off in B.steps(column):
+            parts = Parts(raw, off, s)
+            at = np.minimum(np.searchsorted(cores, parts.core), max(0, len(cores) - 1))
+            own = np.flatnonzero(cores[at] == parts.core) if len(cores) else np.zeros(0, np.int64)
+            text, start = parts.text[own], parts.start[own]
+            size = parts.strings[own] + s.length - 1
+            edge = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            body = raw[np.repeat(start - edge[:-1], size) + np.arange(edge[-1])]
+            bodies = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(body.tobytes())])
+            out.append(pa.table([parts.core[own], pa.array([key[0].as_py()] * len(own), pa.int64()), pa.array([digests[first + t] for t in text.tolist()], pa.binary()), start - off[text], rows[first + text], bodies], names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in kinds], names)
 
     return run
 
 
-_ANSWER = "block long, bucket long, kind int, body binary"
+def suffix_ranks(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of the suffixes from ``at``, truncated to ``length`` bytes (8 or more), in their lexicographic order; equal
+    ones have equal ranks. By prefix doubling from words of eight bytes."""
+    words = np.zeros(max(0, len(raw) - 7), B.U)
+    for k in range(8):
+        words <<= B.U(8)
+        words |= raw[k : len(words) + k]
+    rank, width = np.unique(words, return_inverse=True)[1].astype(np.int64), 8
+    while 2 * width <= length:
+        n = len(rank) - width
+        rank = np.unique(rank[:n] << 32 | rank[width:], return_inverse=True)[1]
+        width *= 2
+    return np.unique(rank[at] << 32 | rank[at + length - width], return_inverse=True)[1]
+
+
+def factors(group: np.ndarray, rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the longest previous factor, and the longest next factor, of each suffix have full length, from the suffixes'
+    ranks and places; suffixes of different groups don't meet."""
+    order = np.lexsort((place, rank, group))
+    full = np.zeros(len(order) + 1, bool)  # whether neighbours have a common prefix of full length
+    full[1:-1] = (rank[order[1:]] == rank[order[:-1]]) & (group[order[1:]] == group[order[:-1]])
+    previous, following = np.empty(len(order), bool), np.empty(len(order), bool)
+    previous[order], following[order] = full[:-1], full[1:]
+    return previous, following
+
+
+def _runs(flags: np.ndarray, part: np.ndarray, offset: np.ndarray, parts: int) -> pa.Array:
+    """By part, the runs of flagged strings: first and end of each, as a list."""
+    at = np.flatnonzero(flags)
+    new = np.ones(len(at), bool)
+    new[1:] = (part[at[1:]] != part[at[:-1]]) | (at[1:] != at[:-1] + 1)
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(at)) - 1 if len(at) else head
+    values = np.stack([offset[at[head]], offset[at[tail]] + 1], 1).ravel().astype(np.int32)
+    edge = 2 * np.searchsorted(part[at[head]], np.arange(parts + 1))
+    return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(values))
+
+
+_ANSWER = "id binary, digest binary, place long, hits array<int>"
+
+
+def _sort_task(s: Settings):
+    """For the parts of each core, the runs of their strings that have factors of full length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in X.whole_groups(batches, "core"):
+            core = table.column("core").to_numpy()
+            count, n = table.column("n").to_numpy(), np.diff(np.flatnonzero(np.concatenate([[True], core[1:] != core[:-1], [True]])))
+            table = table.filter(pa.array((np.repeat(n, n) > 1) | (count > 1)))
+            if not table.num_rows:
+                continue
+            table = table.sort_by([("core", "ascending"), ("digest", "ascending"), ("place", "ascending")])
+            core, count = table.column("core").to_numpy(), table.column("n").to_numpy()
+            body = table.column("body").combine_chunks()
+            size = np.asarray(pc.binary_length(body), np.int64)
+            raw = np.frombuffer(b"".join(body.to_pylist()), np.uint8)
+            strings = size - s.length + 1
+            part = np.repeat(np.arange(len(size)), strings)
+            offset = np.arange(len(part)) - np.repeat(np.cumsum(strings) - strings, strings)
+            at = np.repeat(np.cumsum(size) - size, strings) + offset
+            previous, following = factors(core[part], suffix_ranks(raw, at, s.length), np.arange(len(part)))
+            flags = previous if s.keep == "first" else previous | following | (count[part] > 1)
+            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("id", "digest", "place")), _runs(flags, part, offset, len(size))], ["id", "digest", "place", "hits"])
 
+    return run
 
-def _read(table: pa.Table, kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The answers on all keys of a block."""
-    out, edge = np.zeros(len(keys), bool), X.bucket_edges(keys, buckets)
-    for k, bucket, body in zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("body").to_pylist()):
-        if k == kind:
-            a, z = edge[bucket : bucket + 2]
-            out[a:z] = np.unpackbits(np.frombuffer(body, np.uint8), count=z - a).astype(bool)
-    return out
 
+def _strings_task(s: Settings):
+    """The whole strings of parts, each named by its MD5."""
 
-def find(docs: DataFrame, settings: Settings = Settings(), id: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each distinct text: ``digest`` (MD5), ``n_bytes``, ``spans`` (maximal removed runs, as starts and ends),
-    ``n_removed``, ``kept`` (the remaining bytes) and ``kept_sha256``."""
-    s = settings
-    blocks, buckets = X.texts(docs, text, size=s.block)
-
-    def ask_strings(key: tuple, table: pa.Table) -> pa.Table:
-        block = Block(table, s)
-        return _ask(key[0].as_py(), block.strings, block.twice, buckets)
-
-    def window_keys(block: Block, answers: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
-        windows = block.windows(_read(answers, 0, block.strings, buckets))
-        weights = [run[3] for run in block.runs]
-        own = [block.rows[run[0] : run[1]][B.text_of(off, at)] for run, off, (at, _) in zip(block.runs, weights, windows)]
-        return windows, *_distinct([h for _, h in windows], own)
-
-    def ask_windows(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        _, keys, twice = window_keys(Block(table, s), answers)
-        return _ask(key[0].as_py(), keys, twice, buckets)
-
-    def conclude(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(table, s)
-        windows, keys, _ = window_keys(block, answers)
-        answer = _read(answers, 1, keys, buckets)
-        before = np.zeros(len(keys), bool)  # keys met in this block so far
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, ids, offsets, digests, places, counts = [], [], [], [], [], []
+            for id, digest, place, n, body in zip(*(batch.column(c).to_pylist() for c in ("id", "digest", "place", "n", "body"))):
+                own = range(len(body) - s.length + 1)
+                names += [hashlib.md5(body[i : i + s.length]).digest() for i in own]
+                ids += [id] * len(own)
+                offsets += own
+                digests += [digest] * len(own)
+                places += range(place, place + len(own))
+                counts += [n] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((names, pa.binary()), (ids, pa.binary()), (offsets, pa.int32()), (digests, pa.binary()), (places, pa.int64()), (counts, pa.int64()))], ["name", "id", "offset", "digest", "place", "n"])
+
+    return run
+
+
+def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted offsets as runs."""
+    for batch in batches:
+        hits = []
+        for offsets in batch.column("offsets").to_pylist():
+            x = np.array(offsets, np.int64)
+            cut = np.flatnonzero(np.diff(x) > 1)
+            hits.append(np.stack([x[np.append(0, cut + 1)], x[np.append(cut, len(x) - 1)] + 1], 1).ravel().tolist())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "digest", "place")), pa.array(hits, pa.list_(pa.int32()))], ["id", "digest", "place", "hits"])
+
+
+def _answers(parts: DataFrame, s: Settings) -> DataFrame:
+    """Of each different part: ``id``, its first place (``digest``, ``place``), and ``hits``, the runs of its strings with
+    factors of full length (without ``keep="first"``: of all its copies' strings)."""
+    large = parts.groupBy("core").agg(F.count("*").alias("parts")).filter(F.col("parts") > s.group).select(F.col("core").alias("_core"))
+    large = scratch.table(large)
+    met = parts.select("core", "id", "digest", "place", "n", "body")
+    ordinary = met.join(large, F.col("core") == F.col("_core"), "left_anti")
+    dealt = ordinary.repartition(scratch.partitions(parts.sparkSession), "core").sortWithinPartitions("core")
+    answers = dealt.mapInArrow(_sort_task(s), _ANSWER)
+    if large.isEmpty():
+        return answers
+    strings = met.join(large, F.col("core") == F.col("_core"), "left_semi").drop("core")
+    strings = scratch.table(strings.mapInArrow(_strings_task(s), "name binary, id binary, offset int, digest binary, place long, n long"))
+    if s.keep == "first":
+        least = strings.groupBy("name").agg(F.min(F.struct("digest", "place")).alias("least")).withColumnRenamed("name", "_name")
+        found = strings.join(least, F.col("name") == F.col("_name")).filter(F.col("least") != F.struct("digest", "place"))
+    else:
+        copied = strings.groupBy("name").agg(F.sum("n").alias("copies")).filter("copies > 1").withColumnRenamed("name", "_name")
+        found = strings.join(copied, F.col("name") == F.col("_name"), "left_semi")
+    head = F.struct("digest", (F.col("place") - F.col("offset")).alias("place"))
+    by_part = found.groupBy("id").agg(F.min(head).alias("head"), F.sort_array(F.collect_list("offset")).alias("offsets"))
+    runs = by_part.select("id", "head.digest", "head.place", "offsets").mapInArrow(_merge_runs, _ANSWER)
+    if s.keep == "first":  # parts without such strings have copies whose strings go
+        runs = runs.union(strings.filter("offset = 0").join(runs.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti").select("id", "digest", "place", F.array().cast("array<int>")))
+    return answers.union(runs)
+
+
+def _cut_texts(s: Settings):
+    def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        digests, column, _, _ = X.merged(table)
+        number = {d: i for i, d in enumerate(digests)}
+        text = np.array([number[d] for d in answers.column("digest").to_pylist()], np.int64)
+        order = np.argsort(text, kind="stable")
+        text, place = text[order], answers.column("place").to_numpy()[order]
+        hits = answers.column("hits").to_pylist()
+        hits = [hits[i] for i in order.tolist()]
         out = []
-        for (first, end, raw, off, *_), (at, h) in zip(block.runs, windows):
-            place = np.searchsorted(keys, h)
-            copied = answer[place] if len(keys) else np.zeros(0, bool)
-            if s.keep == "first" and len(at):
-                new = np.zeros(len(at), bool)
-                new[np.unique(place, return_index=True)[1]] = True
-                copied = copied | before[place] | ~new
-                before[place] = True
+        for first, end, raw, off in B.steps(column):
             gone = np.zeros(len(raw) + 1, np.int64)
-            np.add.at(gone, at[copied], 1)
-            np.add.at(gone, at[copied] + s.length, -1)
+            for i in range(*np.searchsorted(text, [first, end])):
+                runs = np.array(hits[i], np.int64).reshape(-1, 2) + off[text[i] - first] + place[i]
+                np.add.at(gone, runs[:, 0], 1)
+                np.add.at(gone, runs[:, 1] + s.length - 1, -1)
             gone = np.cumsum(gone)[:-1] > 0
-            for i, (a, z) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+            for a, z in zip(off[:-1].tolist(), off[1:].tolist()):
                 own = gone[a:z]
                 if not own.any():
                     out.append(([], 0, raw[a:z].tobytes()))
@@ -195,19 +281,39 @@ def find(docs: DataFrame, settings: Settings = Settings(), id: str = "doc_id", t
                 spans = np.stack([np.flatnonzero(change == 1), np.flatnonzero(change == -1)], 1)
                 out.append((spans.ravel().tolist(), int(own.sum()), raw[a:z][~own].tobytes()))
         return pa.table({
-            "digest": pa.array(block.digests, pa.binary()), "n_bytes": pa.array([len(k) + n for _, n, k in out], pa.int64()), "spans": pa.array([x for x, _, _ in out], pa.list_(pa.int64())),
+            "digest": pa.array(digests, pa.binary()), "n_bytes": pa.array([len(k) + n for _, n, k in out], pa.int64()), "spans": pa.array([x for x, _, _ in out], pa.list_(pa.int64())),
             "n_removed": pa.array([n for _, n, _ in out], pa.int64()), "kept": pa.array([k for _, _, k in out], pa.binary()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for _, _, k in out]),
         })
 
-    strings = blocks.groupBy("block").applyInArrow(ask_strings, _ASK).groupBy("bucket").applyInArrow(_answer(0, s.keep), _ANSWER)
-    windows = blocks.groupBy("block").cogroup(strings.groupBy("block")).applyInArrow(ask_windows, _ASK).groupBy("bucket").applyInArrow(_answer(1, s.keep), _ANSWER)
+    return run
+
+
+def find(docs: DataFrame, settings: Settings = Settings(), text: str = "text") -> DataFrame:
+    """For each distinct text: ``digest`` (MD5), ``n_bytes``, ``spans`` (maximal removed runs, as starts and ends),
+    ``n_removed``, ``kept`` (the remaining bytes) and ``kept_sha256``."""
+    s = settings
+    blocks, _ = X.texts(docs, text, size=s.block)
+    of_block = blocks.groupBy("block")
+    cores = scratch.table(of_block.applyInArrow(_name_cores(s), "core long, block long, n int"))
+    twice = cores.groupBy("core").agg(F.sum("n").alias("n")).filter("n > 1").select(F.col("core").alias("_core"))
+    wanted = cores.join(twice, F.col("core") == F.col("_core"), "left_semi").select("block", "core")
+    listed = of_block.cogroup(wanted.groupBy("block")).applyInArrow(_list_parts(s), "core long, block long, digest binary, place long, n long, body binary")
+    listed = scratch.table(listed.withColumn("id", F.unhex(F.md5("body"))))
+    parts = listed.groupBy("core", "id").agg(F.sum("n").alias("n"), F.min(F.struct("digest", "place")).alias("first"), F.first("body").alias("body"))
+    parts = scratch.table(parts.select("core", "id", "n", "first.digest", "first.place", "body"))
+    answers = _answers(parts, s).select(F.col("id").alias("_id"), F.struct("digest", "place").alias("_first"), "hits")
+    where = listed.select("id", "block", "digest", "place", (F.octet_length("body") - s.length + 1).alias("strings"))
+    answers = where.join(answers, F.col("id") == F.col("_id"))
+    if s.keep == "first":
+        answers = answers.withColumn("hits", F.when(F.struct("digest", "place") == F.col("_first"), F.col("hits")).otherwise(F.array(F.lit(0), F.col("strings"))))
+    answers = answers.filter(F.size("hits") > 0).select("block", "digest", "place", "hits")
     shape = "digest binary, n_bytes long, spans array<bigint>, n_removed long, kept binary, kept_sha256 string"
-    return blocks.groupBy("block").cogroup(strings.union(windows).groupBy("block")).applyInArrow(conclude, shape)
+    return of_block.cogroup(answers.groupBy("block")).applyInArrow(_cut_texts(s), shape)
 
 
 def report(docs: DataFrame, settings: Settings = Settings(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document its id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``."""
-    found = scratch.table(find(docs, settings, id, text).select(F.col("digest").alias("_digest"), "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), "kept_sha256"))
+    found = scratch.table(find(docs, settings, text).select(F.col("digest").alias("_digest"), "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), "kept_sha256"))
     rows = docs.select(F.col(id), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("digest"))
     if settings.keep == "first":
         smallest = scratch.table(rows.groupBy("digest").agg(F.min(id).alias("_first")).withColumnRenamed("digest", "_own"))

@@ -213,21 +213,36 @@ def test_numbering(spark):
 
 def test_repeats(spark, docs, empty):
     rows = [*docs, (2000, docs[0][1], "en", "s"), (None, "z" * 900, "en", "s"), (None, "z" * 900, "en", "s"), (3000, "ab" * 700, "en", "s")]
-    settings = repeats.Settings(block=60_000)
-    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.report(frame(spark, rows), settings).collect())
     want = sorted((str(i), *x) for (i, *_), x in zip(rows, brute.repeats([(i, t) for i, t, _, _ in rows])))
-    assert got == want
+    for settings in (repeats.Settings(block=60_000), repeats.Settings(block=60_000, group=1), repeats.Settings(span=50, gram=8)):
+        got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.report(frame(spark, rows), settings).collect())
+        assert got == want, settings
     assert repeats.report(empty).count() == 0
 
 
+def test_repeats_sorts_suffixes():
+    rng = random.Random(8)
+    raw = "".join(rng.choice("ab") for _ in range(3000)).encode()
+    raw += raw[500:900] + raw[600:800]
+    at = np.arange(len(raw) - 100)
+    rank = repeats.suffix_ranks(np.frombuffer(raw, np.uint8), at, 100)
+    cut = [raw[i : i + 100] for i in at]
+    names = {x: k for k, x in enumerate(sorted(set(cut)))}
+    assert rank.tolist() == [names[x] for x in cut]
+    previous, following = repeats.factors(np.zeros(len(at), int), rank, at)
+    first, last = {x: i for i, x in reversed(list(enumerate(cut)))}, {x: i for i, x in enumerate(cut)}
+    assert previous.tolist() == [first[x] < i for i, x in enumerate(cut)] and following.tolist() == [last[x] > i for i, x in enumerate(cut)]
+
+
 def test_repeats_keeps_first(spark):
     rng = random.Random(9)
     text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
     shared, same = text(700), text(900)
     rows = [(1, text(300) + shared + text(200), "en", "s"), (2, text(100) + shared, "en", "s"), (3, same, "en", "s"), (4, same, "en", "s")]
-    got = by_id(repeats.report(frame(spark, rows), repeats.Settings(keep="first")))
-    assert sorted((got[1]["n_removed"], got[2]["n_removed"])) == [0, 700]
-    assert (got[3]["n_removed"], got[4]["n_removed"], got[4]["n_spans"]) == (0, 900, 1)
+    for group in (2048, 1):
+        got = by_id(repeats.report(frame(spark, rows), repeats.Settings(keep="first", group=group)))
+        assert sorted((got[1]["n_removed"], got[2]["n_removed"])) == [0, 700]
+        assert (got[3]["n_removed"], got[4]["n_removed"], got[4]["n_spans"]) == (0, 900, 1)
 
 
 def test_language(spark, table, docs, empty):
