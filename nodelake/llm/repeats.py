@@ -12,15 +12,16 @@ No suffix meets others that it can't equal. Each string of full length has an an
 with the smallest fingerprint of ``gram`` bytes. Equal strings have equal anchors, and a common core of ``length - span + 1``
 bytes from there. The strings of a text with one anchor form a *part*, which holds about 1.4 times ``length`` bytes. So
 
-1. blocks of texts name the distinct cores of their parts, a row each, and those that occur once in the corpus are set aside;
-2. the parts of the others are gathered by core, equal parts once, with the number of their copies and their first place;
+1. blocks of texts name the cores of their parts, a row for each different one; what occurs once in the corpus is set aside;
+2. the parts with the other cores are listed, equal ones of a block in one row, with all of their places, and dealt by core;
 3. the parts of a core are suffix-sorted together by prefix doubling, which gives factors as above. A core with more than
-   ``Settings.group`` different parts (a passage in countless contexts) is dealt out further, by its whole strings: what they
-   are (128 bits of MD5) takes the place of their order, and the least place and the number of copies that of the factors;
+   ``Settings.group`` rows (a passage in countless contexts) is taken apart: its parts are cut by the distance of strings from
+   their anchor, in steps of the next of ``Settings.spans``. These smaller parts have longer cores, equal ones are merged, and
+   they are sorted in their turn. At steps of 1, a part is one string, and there is but one for each core;
 4. answers go back to the blocks, which cut the texts.
 
 The rows of each exchange grow with the keys, not with the number of blocks. Fingerprints of 64 bits only choose who meets
-whom; bytes decide.
+whom; bytes decide (and MD5, for which parts are the same).
 
 Defined results: a null text counts as empty; texts shorter than ``length`` lose nothing; matches never cross texts; rows
 with equal texts count as different places; with ``keep="first"``, of equal texts the one with the smallest id stays, and
@@ -36,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytewise as B
@@ -47,11 +48,11 @@ from . import scratch
 @dataclass(frozen=True)
 class Settings:
     length: int = 400  # bytes of a string that counts
-    span: int = 300  # bytes from a string's start in which its anchor lies
+    spans: tuple[int, ...] = (300, 40, 5, 1)  # bytes from a string's start in which its anchor lies, and steps for large cores
     gram: int = 16  # bytes that an anchor is chosen by
     keep: str = "none"
     block: int | None = 8 << 20  # bytes of text in a block
-    group: int = 2048  # different parts that are suffix-sorted together, at most
+    group: int = 512  # rows that are suffix-sorted together, at most
 
 
 #: Bits of an anchor's key that hold its place, the same for all texts: equal strings must have equal anchors.
@@ -68,82 +69,99 @@ def anchors(raw: np.ndarray, off: np.ndarray, spans: B.Spans, s: Settings) -> tu
     low = spans.windows(s.gram) >> PLACE << PLACE
     low |= np.arange(len(low), dtype=B.U)
     width = 1
-    while 2 * width <= s.span:
+    while 2 * width <= s.spans[0]:
         low = np.minimum(low[: len(low) - width], low[width:])
         width *= 2
-    low = np.minimum(low[starts], low[starts + s.span - width])
+    low = np.minimum(low[starts], low[starts + s.spans[0] - width])
     return starts, (low & ((B.U(1) << PLACE) - B.U(1))).astype(np.int64)
 
 
 class Parts:
-    """The parts of a run of texts: their first places, numbers of strings, cores' fingerprints, and texts."""
+    """The parts of a run of texts: their first places, sizes, anchors (from there), fingerprints of cores, and texts."""
 
     def __init__(self, raw: np.ndarray, off: np.ndarray, s: Settings):
-        spans = B.Spans(raw)
-        starts, anchor = anchors(raw, off, spans, s)
+        self.spans = B.Spans(raw)
+        starts, anchor = anchors(raw, off, self.spans, s)
         new = np.ones(len(starts), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
         first = np.flatnonzero(new)
         self.start, at = starts[first], anchor[first]
-        self.strings = np.diff(np.append(first, len(starts)))
-        self.core = spans(at, at + s.length - s.span + 1).view(np.int64)
+        self.anchor = at - self.start
+        self.size = np.diff(np.append(first, len(starts))) + s.length - 1
+        self.core = self.spans(at, at + s.length - s.spans[0] + 1).view(np.int64)
         self.text = B.text_of(off, self.start)
 
 
 def _name_cores(s: Settings):
-    """The distinct cores of a block, each with how often it occurs (2: or more)."""
+    """The different cores of a block: how often each occurs (2: or more), and in how many different parts."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         _, column, rows, _ = X.merged(table)
-        cores, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        cores, bodies, weights = [np.zeros(0, np.int64)], [np.zeros(0, B.U)], [np.zeros(0, np.int64)]
         for first, _, raw, off in B.steps(column):
             parts = Parts(raw, off, s)
             cores.append(parts.core)
+            bodies.append(parts.spans(parts.start, parts.start + parts.size))
             weights.append(rows[first + parts.text])
         core, number = np.unique(np.concatenate(cores), return_inverse=True)
         n = np.minimum(np.bincount(number, np.concatenate(weights), len(core)), 2).astype(np.int32)
-        return pa.table({"core": core, "block": pa.array([key[0].as_py()] * len(core), pa.int64()), "n": n})
+        different = np.unique(np.concatenate(bodies), return_index=True)[1]
+        parts = np.bincount(number[different], minlength=len(core)).astype(np.int64)
+        return pa.table({"core": core, "block": pa.array([key[0].as_py()] * len(core), pa.int64()), "n": n, "parts": parts})
 
     return run
 
 
+_PART = "core long, large boolean, block long, row binary, n long, digest binary, place long, digests array<binary>, places array<bigint>, anchor int, body binary"
+
+
 def _list_parts(s: Settings):
-    """The parts of a block whose cores occur twice in the corpus."""
-    names = ["core", "block", "digest", "place", "n", "body"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+    """The parts of a block whose cores occur twice in the corpus: a row for each different one, with its places."""
+    names = [x.split()[0] for x in _PART.split(", ")]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
 
     def run(key: tuple, table: pa.Table, wanted: pa.Table) -> pa.Table:
+        block = key[0].as_py()
         digests, column, rows, _ = X.merged(table)
-        cores = np.sort(wanted.column("core").to_numpy())
-        out = []
+        order = np.argsort(wanted.column("core").to_numpy())
+        cores, large = wanted.column("core").to_numpy()[order], wanted.column("large").to_numpy(zero_copy_only=False)[order]
+        found: dict[bytes, list] = {}
         for first, _, raw, off in B.steps(column):
             parts = Parts(raw, off, s)
             at = np.minimum(np.searchsorted(cores, parts.core), max(0, len(cores) - 1))
             own = np.flatnonzero(cores[at] == parts.core) if len(cores) else np.zeros(0, np.int64)
-            text, start = parts.text[own], parts.start[own]
-            size = parts.strings[own] + s.length - 1
-            edge = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            body = raw[np.repeat(start - edge[:-1], size) + np.arange(edge[-1])]
-            bodies = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(body.tobytes())])
-            out.append(pa.table([parts.core[own], pa.array([key[0].as_py()] * len(own), pa.int64()), pa.array([digests[first + t] for t in text.tolist()], pa.binary()), start - off[text], rows[first + text], bodies], names))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in kinds], names)
+            body = raw.tobytes()
+            place = parts.start - off[parts.text]
+            for core, big, text, start, size, anchor, p in zip(*(x[own].tolist() for x in (parts.core, large[at], parts.text, parts.start, parts.size, parts.anchor, place))):
+                part = body[start : start + size]
+                row = found.setdefault(hashlib.md5(part).digest(), [core, big, 0, [], [], anchor, part])
+                row[2] += int(rows[first + text])
+                row[3].append(digests[first + text])
+                row[4].append(p)
+        name = block.to_bytes(8, "big", signed=True)
+        out = [(core, big, block, name + id, n, d[0], p[0], d, p, anchor, part) for id, (core, big, n, d, p, anchor, part) in found.items()]
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
 
     return run
 
 
 def suffix_ranks(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Ranks of the suffixes from ``at``, truncated to ``length`` bytes (8 or more), in their lexicographic order; equal
-    ones have equal ranks. By prefix doubling from words of eight bytes."""
-    words = np.zeros(max(0, len(raw) - 7), B.U)
+    ones have equal ranks. From words of eight bytes by prefix doubling, or faster: as many ranks as fit 63 bits are joined."""
+    rank = np.zeros(max(0, len(raw) - 7), B.U)
     for k in range(8):
-        words <<= B.U(8)
-        words |= raw[k : len(words) + k]
-    rank, width = np.unique(words, return_inverse=True)[1].astype(np.int64), 8
+        rank <<= B.U(8)
+        rank |= raw[k : len(rank) + k]
+    rank, width, bits = np.unique(rank, return_inverse=True)[1].astype(np.int64), 8, len(raw).bit_length()
     while 2 * width <= length:
-        n = len(rank) - width
-        rank = np.unique(rank[:n] << 32 | rank[width:], return_inverse=True)[1]
-        width *= 2
-    return np.unique(rank[at] << 32 | rank[at + length - width], return_inverse=True)[1]
+        times = min(63 // bits, length // width)
+        n = len(rank) - (times - 1) * width
+        joined = rank[:n].copy()
+        for k in range(1, times):
+            joined <<= bits
+            joined |= rank[k * width : n + k * width]
+        rank, width = np.unique(joined, return_inverse=True)[1], width * times
+    return np.unique(rank[at] << bits | rank[at + length - width], return_inverse=True)[1]
 
 
 def factors(group: np.ndarray, rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,10 +187,7 @@ def _runs(flags: np.ndarray, part: np.ndarray, offset: np.ndarray, parts: int) -
     return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(values))
 
 
-_ANSWER = "id binary, digest binary, place long, hits array<int>"
-
-
-def _sort_task(s: Settings):
+def _sort_task(s: Settings, keep: list[str]):
     """For the parts of each core, the runs of their strings that have factors of full length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +197,7 @@ def _sort_task(s: Settings):
             table = table.filter(pa.array((np.repeat(n, n) > 1) | (count > 1)))
             if not table.num_rows:
                 continue
-            table = table.sort_by([("core", "ascending"), ("digest", "ascending"), ("place", "ascending")])
+            table = table.take(pc.sort_indices(table.select(["core", "digest", "place"]), [("core", "ascending"), ("digest", "ascending"), ("place", "ascending")]))
             core, count = table.column("core").to_numpy(), table.column("n").to_numpy()
             body = table.column("body").combine_chunks()
             size = np.asarray(pc.binary_length(body), np.int64)
@@ -193,84 +208,78 @@ def _sort_task(s: Settings):
             at = np.repeat(np.cumsum(size) - size, strings) + offset
             previous, following = factors(core[part], suffix_ranks(raw, at, s.length), np.arange(len(part)))
             flags = previous if s.keep == "first" else previous | following | (count[part] > 1)
-            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("id", "digest", "place")), _runs(flags, part, offset, len(size))], ["id", "digest", "place", "hits"])
+            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in keep), _runs(flags, part, offset, len(size))], [*keep, "hits"])
 
     return run
 
 
-def _strings_task(s: Settings):
-    """The whole strings of parts, each named by its MD5."""
+def _cut_task(s: Settings, span: int):
+    """Parts cut by the distance of their strings from the anchor, in steps of ``span``."""
+    names = ["core", "parent", "offset", "n", "digest", "place", "anchor", "body"]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, ids, offsets, digests, places, counts = [], [], [], [], [], []
-            for id, digest, place, n, body in zip(*(batch.column(c).to_pylist() for c in ("id", "digest", "place", "n", "body"))):
-                own = range(len(body) - s.length + 1)
-                names += [hashlib.md5(body[i : i + s.length]).digest() for i in own]
-                ids += [id] * len(own)
-                offsets += own
-                digests += [digest] * len(own)
-                places += range(place, place + len(own))
-                counts += [n] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((names, pa.binary()), (ids, pa.binary()), (offsets, pa.int32()), (digests, pa.binary()), (places, pa.int64()), (counts, pa.int64()))], ["name", "id", "offset", "digest", "place", "n"])
+            out = []
+            for row, n, digest, place, anchor, body in zip(*(batch.column(c).to_pylist() for c in ("row", "n", "digest", "place", "anchor", "body"))):
+                strings = len(body) - s.length + 1
+                for step in range((anchor - strings + 1) // span, anchor // span + 1):
+                    head = anchor - step * span  # the last string of this step starts here
+                    a, z = max(0, head - span + 1), min(strings - 1, head)
+                    core = hashlib.md5(b"%d %d " % (span, step) + body[head : head - span + 1 + s.length]).digest()
+                    out.append((int.from_bytes(core[:8], "little", signed=True), row, a, n, digest, place + a, anchor - a, body[a : z + s.length]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
 
     return run
 
 
-def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted offsets as runs."""
-    for batch in batches:
-        hits = []
-        for offsets in batch.column("offsets").to_pylist():
-            x = np.array(offsets, np.int64)
-            cut = np.flatnonzero(np.diff(x) > 1)
-            hits.append(np.stack([x[np.append(0, cut + 1)], x[np.append(cut, len(x) - 1)] + 1], 1).ravel().tolist())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "digest", "place")), pa.array(hits, pa.list_(pa.int32()))], ["id", "digest", "place", "hits"])
-
-
-def _answers(parts: DataFrame, s: Settings) -> DataFrame:
-    """Of each different part: ``id``, its first place (``digest``, ``place``), and ``hits``, the runs of its strings with
-    factors of full length (without ``keep="first"``: of all its copies' strings)."""
-    large = parts.groupBy("core").agg(F.count("*").alias("parts")).filter(F.col("parts") > s.group).select(F.col("core").alias("_core"))
-    large = scratch.table(large)
-    met = parts.select("core", "id", "digest", "place", "n", "body")
-    ordinary = met.join(large, F.col("core") == F.col("_core"), "left_anti")
-    dealt = ordinary.repartition(scratch.partitions(parts.sparkSession), "core").sortWithinPartitions("core")
-    answers = dealt.mapInArrow(_sort_task(s), _ANSWER)
-    if large.isEmpty():
-        return answers
-    strings = met.join(large, F.col("core") == F.col("_core"), "left_semi").drop("core")
-    strings = scratch.table(strings.mapInArrow(_strings_task(s), "name binary, id binary, offset int, digest binary, place long, n long"))
-    if s.keep == "first":
-        least = strings.groupBy("name").agg(F.min(F.struct("digest", "place")).alias("least")).withColumnRenamed("name", "_name")
-        found = strings.join(least, F.col("name") == F.col("_name")).filter(F.col("least") != F.struct("digest", "place"))
+def _sorted(parts: DataFrame, s: Settings, keep: list[str], shape: str) -> DataFrame:
+    """Columns ``keep`` of parts, and ``hits``: the runs of their strings with factors of full length (with
+    ``keep="first"``, longest previous ones)."""
+    dealt = parts.select(*dict.fromkeys(["core", "n", "digest", "place", "body", *keep])).repartition(scratch.partitions(parts.sparkSession), "core").sortWithinPartitions("core")
+    return dealt.mapInArrow(_sort_task(s, keep), shape)
+
+
+def _taken_apart(large: DataFrame, s: Settings, level: int = 1) -> DataFrame:
+    """``row`` and ``hits`` of parts (``row``, ``n``, ``digest``, ``place``, ``anchor``, ``body``) with large cores."""
+    smaller = large.mapInArrow(_cut_task(s, s.spans[level]), "core long, parent binary, offset int, n long, digest binary, place long, anchor int, body binary")
+    smaller = scratch.table(smaller.withColumn("row", F.unhex(F.md5("body"))).withColumn("strings", F.octet_length("body") - s.length + 1))
+    different = smaller.groupBy("core", "row").agg(F.sum("n").alias("n"), F.min(F.struct("digest", "place")).alias("first"), F.first("anchor").alias("anchor"), F.first("body").alias("body"))
+    different = scratch.table(different.select("core", "row", "n", "first.digest", "first.place", "anchor", "body"))
+    shape = "row binary, hits array<int>"
+    if level + 1 < len(s.spans):
+        sizes = scratch.table(different.groupBy("core").agg(F.count("*").alias("parts")).filter(F.col("parts") > s.group).select(F.col("core").alias("_core")))
+        answers = _sorted(different.join(sizes, F.col("core") == F.col("_core"), "left_anti"), s, ["row"], shape)
+        if not sizes.isEmpty():
+            answers = answers.union(_taken_apart(different.join(sizes, F.col("core") == F.col("_core"), "left_semi"), s, level + 1))
     else:
-        copied = strings.groupBy("name").agg(F.sum("n").alias("copies")).filter("copies > 1").withColumnRenamed("name", "_name")
-        found = strings.join(copied, F.col("name") == F.col("_name"), "left_semi")
-    head = F.struct("digest", (F.col("place") - F.col("offset")).alias("place"))
-    by_part = found.groupBy("id").agg(F.min(head).alias("head"), F.sort_array(F.collect_list("offset")).alias("offsets"))
-    runs = by_part.select("id", "head.digest", "head.place", "offsets").mapInArrow(_merge_runs, _ANSWER)
-    if s.keep == "first":  # parts without such strings have copies whose strings go
-        runs = runs.union(strings.filter("offset = 0").join(runs.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti").select("id", "digest", "place", F.array().cast("array<int>")))
-    return answers.union(runs)
+        answers = _sorted(different, s, ["row"], shape)
+    firsts = different.select(F.col("row").alias("_row"), F.struct("digest", "place").alias("_first"))
+    firsts = firsts.join(answers, F.col("_row") == F.col("row"), "left").select("_row", "_first", F.coalesce("hits", F.array().cast("array<int>")).alias("_hits"))
+    hits = F.col("_hits")
+    if s.keep == "first":
+        hits = F.when(F.struct("digest", "place") == F.col("_first"), hits).otherwise(F.array(F.lit(0), F.col("strings")))
+    told = smaller.select("row", "parent", "offset", "digest", "place", "strings").join(firsts, F.col("row") == F.col("_row"))
+    moved = F.transform(hits, lambda x: x + F.col("offset"))
+    together = told.groupBy("parent").agg(F.sort_array(F.collect_list(F.struct("offset", moved.alias("hits")))).alias("x"))  # a few steps each
+    return together.select(F.col("parent").alias("row"), F.flatten(F.transform("x", lambda x: x["hits"])).alias("hits"))
 
 
 def _cut_texts(s: Settings):
     def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         digests, column, _, _ = X.merged(table)
         number = {d: i for i, d in enumerate(digests)}
-        text = np.array([number[d] for d in answers.column("digest").to_pylist()], np.int64)
-        order = np.argsort(text, kind="stable")
-        text, place = text[order], answers.column("place").to_numpy()[order]
-        hits = answers.column("hits").to_pylist()
-        hits = [hits[i] for i in order.tolist()]
+        marks: list[list[tuple[int, int]]] = [[] for _ in digests]
+        for found, places, strings, hits in zip(*(answers.column(c).to_pylist() for c in ("digests", "places", "strings", "hits"))):
+            for k, (digest, place) in enumerate(zip(found, places)):
+                runs = hits if not k or s.keep != "first" else [0, strings]  # copies in a block are listed in order
+                marks[number[digest]] += [(place + a, place + z + s.length - 1) for a, z in zip(runs[::2], runs[1::2])]
         out = []
         for first, end, raw, off in B.steps(column):
             gone = np.zeros(len(raw) + 1, np.int64)
-            for i in range(*np.searchsorted(text, [first, end])):
-                runs = np.array(hits[i], np.int64).reshape(-1, 2) + off[text[i] - first] + place[i]
-                np.add.at(gone, runs[:, 0], 1)
-                np.add.at(gone, runs[:, 1] + s.length - 1, -1)
+            edges = np.array([(off[i - first] + a, off[i - first] + z) for i in range(first, end) for a, z in marks[i]], np.int64).reshape(-1, 2)
+            np.add.at(gone, edges[:, 0], 1)
+            np.add.at(gone, edges[:, 1], -1)
             gone = np.cumsum(gone)[:-1] > 0
             for a, z in zip(off[:-1].tolist(), off[1:].tolist()):
                 own = gone[a:z]
@@ -294,19 +303,16 @@ def find(docs: DataFrame, settings: Settings = Settings(), text: str = "text") -
     s = settings
     blocks, _ = X.texts(docs, text, size=s.block)
     of_block = blocks.groupBy("block")
-    cores = scratch.table(of_block.applyInArrow(_name_cores(s), "core long, block long, n int"))
-    twice = cores.groupBy("core").agg(F.sum("n").alias("n")).filter("n > 1").select(F.col("core").alias("_core"))
-    wanted = cores.join(twice, F.col("core") == F.col("_core"), "left_semi").select("block", "core")
-    listed = of_block.cogroup(wanted.groupBy("block")).applyInArrow(_list_parts(s), "core long, block long, digest binary, place long, n long, body binary")
-    listed = scratch.table(listed.withColumn("id", F.unhex(F.md5("body"))))
-    parts = listed.groupBy("core", "id").agg(F.sum("n").alias("n"), F.min(F.struct("digest", "place")).alias("first"), F.first("body").alias("body"))
-    parts = scratch.table(parts.select("core", "id", "n", "first.digest", "first.place", "body"))
-    answers = _answers(parts, s).select(F.col("id").alias("_id"), F.struct("digest", "place").alias("_first"), "hits")
-    where = listed.select("id", "block", "digest", "place", (F.octet_length("body") - s.length + 1).alias("strings"))
-    answers = where.join(answers, F.col("id") == F.col("_id"))
-    if s.keep == "first":
-        answers = answers.withColumn("hits", F.when(F.struct("digest", "place") == F.col("_first"), F.col("hits")).otherwise(F.array(F.lit(0), F.col("strings"))))
-    answers = answers.filter(F.size("hits") > 0).select("block", "digest", "place", "hits")
+    every = Window.partitionBy("core")
+    cores = of_block.applyInArrow(_name_cores(s), "core long, block long, n int, parts long").withColumns({"copies": F.sum("n").over(every), "rows": F.sum("parts").over(every)})
+    wanted = cores.filter("copies > 1").select("block", "core", (F.col("rows") > s.group).alias("large"))
+    listed = scratch.table(of_block.cogroup(wanted.groupBy("block")).applyInArrow(_list_parts(s), _PART)).withColumn("strings", F.octet_length("body") - s.length + 1)
+    told = ["block", "digests", "places", "strings"]
+    answers = _sorted(listed.filter("not large"), s, told, "block long, digests array<binary>, places array<bigint>, strings int, hits array<int>")
+    large = listed.filter("large")
+    if not large.isEmpty():
+        apart = _taken_apart(large, s).select(F.col("row").alias("_row"), "hits")
+        answers = answers.union(large.join(apart, F.col("row") == F.col("_row")).select(*told, "hits"))
     shape = "digest binary, n_bytes long, spans array<bigint>, n_removed long, kept binary, kept_sha256 string"
     return of_block.cogroup(answers.groupBy("block")).applyInArrow(_cut_texts(s), shape)
 

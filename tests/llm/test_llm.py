@@ -214,7 +214,7 @@ def test_numbering(spark):
 def test_repeats(spark, docs, empty):
     rows = [*docs, (2000, docs[0][1], "en", "s"), (None, "z" * 900, "en", "s"), (None, "z" * 900, "en", "s"), (3000, "ab" * 700, "en", "s")]
     want = sorted((str(i), *x) for (i, *_), x in zip(rows, brute.repeats([(i, t) for i, t, _, _ in rows])))
-    for settings in (repeats.Settings(block=60_000), repeats.Settings(block=60_000, group=1), repeats.Settings(span=50, gram=8)):
+    for settings in (repeats.Settings(block=60_000), repeats.Settings(block=60_000, group=1), repeats.Settings(spans=(50, 9, 1), gram=8, block=60_000, group=3)):
         got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.report(frame(spark, rows), settings).collect())
         assert got == want, settings
     assert repeats.report(empty).count() == 0
