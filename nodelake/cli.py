@@ -9,7 +9,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from . import config
+from . import api, config
 from .errors import InvalidGitRepositoryError, RepoExistsError, RepoNotFoundError
 from .operators.store import Store
 from .service import Repo, preview
@@ -32,6 +32,7 @@ def _parser() -> argparse.ArgumentParser:
     search.add_argument("--limit", type=int, default=10)
     commands.add_parser("status")
     commands.add_parser("forget").add_argument("name")
+    commands.add_parser("serve", help="answer a tool client on standard input and output")
     settings = commands.add_parser("config").add_subparsers(dest="action", required=True)
     settings.add_parser("show")
     settings.add_parser("init").add_argument("--force", action="store_true")
@@ -44,7 +45,7 @@ def _store(args) -> Store:
     spark = SparkSession.builder.appName("nodelake").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if not args.verbose:
         spark.sparkContext.setLogLevel("ERROR")
-    return Store(spark, config.Settings.load().store["path"])
+    return Store.connect(spark, config.Settings.load().store)
 
 
 def main(argv: list[str] | None = None, store: Store | None = None) -> int:
@@ -75,8 +76,8 @@ def _run(args, store: Store | None) -> int:
             return subprocess.call([os.environ.get("EDITOR", "vi"), str(path)])
     elif args.command == "index":
         r = Repo.get(args.name).index(store or _store(args), args.full)
-        done = r.files_synced or r.files_deleted
-        print(f"checked {r.files_checked}, synced {len(r.files_synced)}, deleted {len(r.files_deleted)}, skipped {r.skipped_files}" if done else "up to date")
+        done = r.files_synced or r.nodes_deleted
+        print(f"checked {r.files_checked}, synced {len(r.files_synced)}, deleted {r.nodes_deleted}, skipped {r.skipped_files}" if done else "up to date")
         for e in r.errors:
             print(e, file=sys.stderr)
     elif args.command == "search":
@@ -86,6 +87,8 @@ def _run(args, store: Store | None) -> int:
         store = store or _store(args)
         for repo in Repo.list():
             print("  ".join(f"{k}: {v}" for k, v in repo.status(store).items()))
+    elif args.command == "serve":
+        api.serve(store or _store(args), sys.stdin, sys.stdout)
     else:
         Repo.remove(args.name, store or _store(args))
         print(f"forgot {args.name}")

@@ -97,6 +97,12 @@ def stored(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def payload(core: dict[str, Column], extra: Column) -> Column:
+    """Core columns as a map of strings and, over them, the extra keys."""
+    first = F.create_map(*(x for k, c in core.items() for x in (F.lit(k), stored(c.cast("string")))))
+    return F.map_concat(F.map_filter(first, lambda k, _: ~F.array_contains(F.map_keys(extra), k)), extra)
+
+
 def preview(content: Column, n: int = 50) -> Column:
     return F.concat(F.substring(F.replace(strip(content), F.lit("\n"), F.lit(" ")), 1, n), F.lit("..."))
 

@@ -25,14 +25,13 @@ def markdown(text: str) -> list[dict]:
         elif (m := _HEADING.match(line)) and m[2] and m[2].strip("# \t"):
             found.append((at + m.start(1), len(m[1]), src.text(at + m.start(2), at + m.end(2)).strip()))
         at += len(line) + 1
-    out, above = [], []
+    ends, scopes, above = [len(src.s)] * len(found), [], []
     for i, (start, level, title) in enumerate(found):
-        end = next((s for s, n, _ in found[i + 1 :] if n <= level), len(src.s))
-        while above and above[-1][0] >= level:
-            above.pop()
-        out.append(src.node(start, end, f"Header {level}", title, above[-1][1] if above else None))
-        above.append((level, title))
-    return out
+        while above and found[above[-1]][1] >= level:
+            ends[above.pop()] = start
+        scopes.append(found[above[-1]][2] if above else None)
+        above.append(i)
+    return [src.node(start, end, f"Header {level}", title, scope) for (start, level, title), end, scope in zip(found, ends, scopes)]
 
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,16 +43,20 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "p": ({"p"}, {"div", "article", "sectio
 
 
 class _Element:
-    def __init__(self, tag: str, start: int, attributes: str, parent: _Element | None):
-        self.tag, self.start, self.attributes, self.parent = tag, start, attributes, parent
+    """``tag`` is in lower case, for what closes what; ``name`` is as written, and what counts, since names are told by case."""
+
+    def __init__(self, name: str, start: int, attributes: str, parent: _Element | None):
+        self.name, self.tag, self.start, self.attributes, self.parent = name, name.lower(), start, attributes, parent
         self.children: list[_Element] = []
         self.texts: list[tuple[int, str]] = []
         self.end = start
 
     def below(self):
-        for c in self.children:
-            yield c
-            yield from c.below()
+        """All elements inside, in document order."""
+        stack = self.children[::-1]
+        while stack:
+            yield (e := stack.pop())
+            stack += e.children[::-1]
 
 
 def _tree(src: Source) -> _Element:
@@ -87,7 +90,7 @@ def _tree(src: Source) -> _Element:
             if e.tag in group:
                 while top is not e.parent:
                     top.end, top = m.start(), top.parent
-        e = _Element(tag, m.start(), m[3] or "", top)
+        e = _Element(m[2], m.start(), m[3] or "", top)
         e.end = m.end()
         top.children.append(e)
         if tag not in _VOID and not (m[3] or "").rstrip().endswith("/"):
@@ -120,24 +123,24 @@ def html(text: str) -> list[dict]:
     """Headings, tables and lists."""
     src, out = Source(text), []
     for e in _tree(src).below():
-        tag, extra = e.tag, {}
+        tag, extra = e.name, {}
         if not re.fullmatch(r"h[1-6]|table|ul|ol", tag):
             continue
         cleaned = " ".join(w for w in normalize(_text(e)).split(" ") if w and w not in STOPWORDS)
         extra["cleaned_text"] = cleaned[:100]
         name = " ".join(cleaned.split(" ")[:5]) or tag if tag[0] == "h" else "table" if tag == "table" else f"{tag}-list"
         if tag in ("ul", "ol"):
-            extra["item_count"] = str(sum(c.tag == "li" for c in e.below()))
+            extra["item_count"] = str(sum(c.name == "li" for c in e.below()))
         elif tag == "table":
-            rows = [c for c in e.below() if c.tag == "tr"]
-            extra |= {"rows": str(len(rows)), "cols": str(max((sum(c.tag in ("td", "th") for c in r.below()) for r in rows), default=0))}
+            rows = [c for c in e.below() if c.name == "tr"]
+            extra |= {"rows": str(len(rows)), "cols": str(max((sum(c.name in ("td", "th") for c in r.below()) for r in rows), default=0))}
         for key in ("id", "class"):
             if (m := re.search(rf"(?:^|\s){key}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", e.attributes)) and (value := m[1] or m[2]):
                 extra[key] = value.encode("latin-1").decode("utf-8", "replace")
         above = e.parent
-        while above and above.tag not in _SCOPES:
+        while above and above.name not in _SCOPES:
             above = above.parent
-        out.append(src.node(e.start, e.end, tag, name, above.tag if above else None, **extra))
+        out.append(src.node(e.start, e.end, tag, name, above.name if above else None, **extra))
     return sorted(out, key=lambda n: n["start_byte"])
 
 

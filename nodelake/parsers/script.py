@@ -211,10 +211,10 @@ class _Script:
                 continue
             rest = self.m[e.end() :]
             declared = re.match(rf"\s+(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\s*\*?|class|interface|type|enum|const\s+enum|namespace)\b\s*({_ID})?", rest)
-            variable = re.match(rf"\s+(?:const|let|var)\s+({_ID})", rest)
+            variable = re.match(rf"\s+(?:const|let|var)\s+(?!enum\b)({_ID})", rest)
             clause = re.match(r"\s*(?:type\s*)?\{([^}]*)\}", rest)
             value = re.match(rf"\s+default\s+({_ID})\s*(?:;|\n|$)", rest)
-            if declared and not (variable and declared[1].startswith("const")):
+            if declared:
                 body = self.m.find("{", e.end())
                 kind = declared[1].split()[0].rstrip("*")
                 end = self.statement_end(e.end()) if kind == "type" or body not in self.close else self.close[body] + 1

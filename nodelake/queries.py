@@ -105,15 +105,19 @@ def sync_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.plan(sync_plan(spark, sf_dir), 40).select("path", "status", "action")
 
 
+def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A plan, and the nodes of each path that it syncs; no other document is parsed."""
+    planned = diff.plan(sync_plan(spark, sf_dir), 40)
+    todo = _documents(spark, sf_dir).select("path", "content").join(planned.filter("action = 'sync'").select("path"), "path", "left_semi")
+    return planned, chunk.chunks(todo).groupBy("path").agg(F.count("*").alias("n"))
+
+
 def sync_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    parsed = chunk.chunks(docs.select("path", "content")).groupBy("path").agg(F.count("*").alias("n"))
-    return diff.summary(diff.plan(sync_plan(spark, sf_dir), 40), parsed)
+    return diff.summary(*_planned(spark, sf_dir))
 
 
 def sync_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = chunk.chunks(_documents(spark, sf_dir).select("path", "content")).groupBy("path").agg(F.count("*").alias("n"))
-    return diff.synced_paths(diff.plan(sync_plan(spark, sf_dir), 40), parsed)
+    return diff.synced_paths(*_planned(spark, sf_dir))
 
 
 def full_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,10 +263,10 @@ def _synthesised(language: str) -> Query:
 
 
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    clean = X.drop_stopwords(X.normalize(text))
-    return _table(spark, sf_dir, "documents").select(
-        "doc_id", X.content_hash(X.normalize(text)).alias("normalized"), X.content_hash(clean).alias("cleaned"), X.first_words(clean, 5, F.lit("text")).alias("name"), X.truncate(clean).alias("head"), X.preview(text).alias("preview"))
+    docs = chunk.once(_table(spark, sf_dir, "documents"), "doc_id", "text", normal=X.normalize(F.col("text")))
+    docs, clean = chunk.once(docs, "doc_id", "text", "normal", clean=X.drop_stopwords(F.col("normal"))), F.col("clean")
+    return docs.select(
+        "doc_id", X.content_hash(F.col("normal")).alias("normalized"), X.content_hash(clean).alias("cleaned"), X.first_words(clean, 5, F.lit("text")).alias("name"), X.truncate(clean).alias("head"), X.preview(F.col("text")).alias("preview"))
 
 
 _NORMAL = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
@@ -282,8 +286,7 @@ def payload_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A node's payload: its columns and, over them, its extra keys."""
     nation = _table(spark, sf_dir, "nation")
     extra = F.create_map(F.lit("path"), F.col("n_name"), F.lit("length"), F.col("n_regionkey").cast("string"))
-    core = F.map_filter(F.create_map(F.lit("name"), F.col("n_name"), F.lit("path"), F.lit("core")), lambda k, _: ~F.array_contains(F.map_keys(extra), k))
-    merged = F.map_concat(core, extra)
+    merged = X.payload({"name": F.col("n_name"), "path": F.lit("core")}, extra)
     return nation.select("n_nationkey", merged["name"].alias("name"), merged["path"].alias("path"), merged["length"].alias("length"), F.size(merged).cast("long").alias("n"))
 
 

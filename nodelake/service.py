@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -22,7 +22,7 @@ from .sources import repo as tree
 @dataclass
 class IndexResult:
     files_synced: list[str] = field(default_factory=list)
-    files_deleted: list[str] = field(default_factory=list)
+    deleted: DataFrame | None = None  # paths; they aren't capped, so they are fetched only when asked for
     files_checked: int = 0
     skipped_files: int = 0
     nodes_added: int = 0
@@ -31,6 +31,15 @@ class IndexResult:
     indexed_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
     errors: list[str] = field(default_factory=list)
 
+    @property
+    def files_deleted(self) -> list[str]:
+        return [] if self.deleted is None or not self.nodes_deleted else sorted(r["document_path"] for r in self.deleted.toLocalIterator())
+
+    def to_dict(self) -> dict:
+        """Values that JSON takes."""
+        own = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "deleted"}
+        return own | {"files_deleted": self.files_deleted, "indexed_at": self.indexed_at.isoformat()}
+
 
 def collection_of(name: str) -> str:
     return "nodelake_" + "".join(c if c.isalnum() else "_" for c in name.lower())
@@ -91,9 +100,9 @@ class Repo:
     def walk(self, spark: SparkSession) -> DataFrame:
         return tree.walk(spark, self.path)
 
-    def index(self, store: Store, full: bool = False) -> IndexResult:
-        """Bring the collection in step with the tree: parse what is new or modified, drop what is gone, in one snapshot. A
-        file that can't be parsed is reported and keeps its old nodes."""
+    def index(self, store: Store, full: bool = False, embedder: embed.Embedder | None = None) -> IndexResult:
+        """Bring the collection in step with the tree: parse what is new or modified, drop what is gone, in one commit that
+        holds the changes alone. A file that can't be parsed is reported and keeps its old nodes."""
         spark, name, options = store.spark, self.collection_name, config.RepoOptions.from_repo(self.path)
         if full:
             store.drop(name)
@@ -107,18 +116,24 @@ class Repo:
         done = planned.join(bad, "path", "left_anti")
         by_path = good.groupBy(F.col("document_path").alias("path")).agg(F.count("*").alias("n"))
         counts = diff.summary(done, by_path).first()
-        lists = diff.synced_paths(done, by_path).collect()
-        if lists:
-            store.replace(name, diff.apply(stored, done, good.withColumn("embedding", embed.embed(F.col("content"))).select(*SCHEMA.names)))
+        synced = [r["path"] for r in diff.synced_paths(done.filter("action = 'sync'"), by_path).collect()]  # as many as the cap at most
+        deleted = None
+        if synced or counts["nodes_deleted"] or not good.isEmpty():
+            vectors = good.withColumn("embedding", embed.embed(F.col("content"), embedder or embed.embedder(config.Settings.load().embedding["model_name"]), options.upsert_batch_size))
+            gone = store.sync(name, vectors.select(*SCHEMA.names), done.filter("action = 'delete' or action = 'sync' and status = 'modified'").select(F.col("path").alias("document_path")))
+            modified = [r["path"] for r in done.filter("action = 'sync' and status = 'modified'").select("path").collect()]  # as many as the cap at most
+            deleted = gone.filter(~F.col("document_path").isin(modified))
         result = IndexResult(
-            sorted(r["path"] for r in lists if r["kind"] == "synced"), sorted(r["path"] for r in lists if r["kind"] == "deleted"), counts["files_checked"] + len(failed), counts["skipped_files"],
-            counts["nodes_added"], counts["nodes_deleted"], counts["nodes_updated"], errors=[f"{r['document_path']}: {r['error']}" for r in failed])
+            sorted(synced), deleted, counts["files_checked"] + len(failed), counts["skipped_files"], counts["nodes_added"], counts["nodes_deleted"], counts["nodes_updated"],
+            errors=[f"{r['document_path']}: {r['error']}" for r in failed])
         for df in (walked, planned, parsed):
             df.unpersist()
         return result
 
-    def search(self, store: Store, query: str, limit: int | None = None, **conditions) -> DataFrame:
-        return search.search(store.nodes(self.collection_name), embed.query_vector(query), X.effective_limit(limit), **conditions)
+    def search(self, store: Store, query: str, limit: int | None = None, embedder: embed.Embedder | None = None, **conditions) -> DataFrame:
+        """The best ``limit`` (10) nodes for a query, embedded as the settings have it unless an embedder is given."""
+        embedder = embedder or embed.embedder(config.Settings.load().embedding["model_name"])
+        return search.search(store.nodes(self.collection_name), embed.query_vector(query, embedder), X.effective_limit(limit), **conditions)
 
     def status(self, store: Store) -> dict:
         row = diff.status(store.nodes(self.collection_name), self.walk(store.spark)).first()

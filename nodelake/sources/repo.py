@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..config import RepoOptions
+from ..config import RepoOptions, Settings
 from ..errors import validate_git_repository
 from ..functions import scalars as X
 from ..operators import filters
@@ -109,10 +109,10 @@ def patterns(root: str, options: RepoOptions, defaults: tuple[str, ...] = DEFAUL
 
 
 def walk(spark: SparkSession, root: str, options: RepoOptions | None = None) -> DataFrame:
-    """The documents of a working tree."""
+    """The documents of a working tree. What is ignored: the settings' patterns, the tree's own, those of its options."""
     root = str(Path(root).resolve())
     validate_git_repository(root)
     options = options or RepoOptions.from_repo(root)
     spark.dataSource.register(RepoSource)
-    reader = spark.read.format("nodelake_tree").option("path", root).option("patterns", "\n".join(patterns(root, options))).option("maxSize", str(options.max_file_size))
+    reader = spark.read.format("nodelake_tree").option("path", root).option("patterns", "\n".join(patterns(root, options, tuple(Settings.load().ignore_patterns)))).option("maxSize", str(options.max_file_size))
     return documents(reader.load())
