@@ -187,6 +187,22 @@ def _runs(flags: np.ndarray, part: np.ndarray, offset: np.ndarray, parts: int) -
     return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(values))
 
 
+def _same(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of parts named by rows (which end in the MD5 of the part), the first of each different one, and each one's number."""
+    names = np.frombuffer(b"".join(r[-16:] for r in rows), "<u8").reshape(-1, 2)
+    order = np.lexsort((names[:, 1], names[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (names[order[1:]] != names[order[:-1]]).any(1)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = np.full(int(new.sum()), len(order))
+    np.minimum.at(first, number, np.arange(len(order)))
+    back = np.argsort(first)  # numbered in the order of their first places
+    rank = np.empty_like(back)
+    rank[back] = np.arange(len(back))
+    return first[back], rank[number]
+
+
 def _sort_task(s: Settings, keep: list[str]):
     """For the parts of each core, the runs of their strings that have factors of full length."""
 
@@ -199,16 +215,28 @@ def _sort_task(s: Settings, keep: list[str]):
                 continue
             table = table.take(pc.sort_indices(table.select(["core", "digest", "place"]), [("core", "ascending"), ("digest", "ascending"), ("place", "ascending")]))
             core, count = table.column("core").to_numpy(), table.column("n").to_numpy()
-            body = table.column("body").combine_chunks()
-            size = np.asarray(pc.binary_length(body), np.int64)
-            raw = np.frombuffer(b"".join(body.to_pylist()), np.uint8)
+            same, number = _same(table.column("row").to_pylist())  # equal parts are sorted once, at the first of their places
+            copies = np.bincount(number, count)
+            alone = np.bincount(core_number := np.unique(core[same], return_inverse=True)[1])[core_number] == 1
+            size = np.asarray(pc.binary_length(table.column("body")), np.int64)[same]
             strings = size - s.length + 1
-            part = np.repeat(np.arange(len(size)), strings)
+            part = np.repeat(np.arange(len(same)), strings)
             offset = np.arange(len(part)) - np.repeat(np.cumsum(strings) - strings, strings)
-            at = np.repeat(np.cumsum(size) - size, strings) + offset
-            previous, following = factors(core[part], suffix_ranks(raw, at, s.length), np.arange(len(part)))
-            flags = previous if s.keep == "first" else previous | following | (count[part] > 1)
-            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in keep), _runs(flags, part, offset, len(size))], [*keep, "hits"])
+            flags = np.zeros(len(part), bool)
+            if not alone.all():  # a core's only part meets no other
+                own = np.flatnonzero(~alone)
+                raw = np.frombuffer(b"".join(table.column("body").take(pa.array(same[own])).to_pylist()), np.uint8)
+                inside = ~alone[part]
+                at = np.repeat(np.cumsum(size[own]) - size[own], strings[own]) + offset[inside]
+                previous, following = factors(core[same][part[inside]], suffix_ranks(raw, at, s.length), np.arange(len(at)))
+                flags[inside] = previous if s.keep == "first" else previous | following
+            if s.keep != "first":
+                flags |= copies[part] > 1
+            runs = _runs(flags, part, offset, len(same)).take(pa.array(number))
+            if s.keep == "first":
+                first = np.isin(np.arange(len(number)), same).tolist()
+                runs = pa.array([r if f else [0, n] for r, f, n in zip(runs.to_pylist(), first, strings[number].tolist())], runs.type)
+            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in keep), runs], [*keep, "hits"])
 
     return run
 
@@ -236,7 +264,7 @@ def _cut_task(s: Settings, span: int):
 def _sorted(parts: DataFrame, s: Settings, keep: list[str], shape: str) -> DataFrame:
     """Columns ``keep`` of parts, and ``hits``: the runs of their strings with factors of full length (with
     ``keep="first"``, longest previous ones)."""
-    dealt = parts.select(*dict.fromkeys(["core", "n", "digest", "place", "body", *keep])).repartition(scratch.partitions(parts.sparkSession), "core").sortWithinPartitions("core")
+    dealt = parts.select(*dict.fromkeys(["core", "row", "n", "digest", "place", "body", *keep])).repartition(scratch.partitions(parts.sparkSession), "core").sortWithinPartitions("core")
     return dealt.mapInArrow(_sort_task(s, keep), shape)
 
 
