@@ -187,6 +187,8 @@ class _Script:
 
     def _member_start(self, at: int, body: int) -> bool:
         p = self.before(at)
+        if re.search(rf"@{_ID}(?:\.{_ID})*\s*$", self.m[max(body, at - 256) : at]):
+            return True  # after a decorator
         return p == body or self.m[p] in ";}," or "\n" in self.m[p:at] and self.m[p] not in "=(.?:+-*/%&|<>!" or self.m[p] == ")"
 
     def lexical(self) -> None:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import parsers
+from . import parsers, tree_queries
 from .functions import scalars as X
 from .operators import chunk, diff, embed, filters, search, store
 from .plans.synth import CASES
@@ -253,11 +253,17 @@ def json_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _synthesised(language: str) -> Query:
+    """All that the parser of a language makes of the texts of its cases."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.lit(language).alias("language"), CASES[language].source(F.col("n_nationkey"), F.col("n_name")).alias("content"))
-        nodes = parsers.parse_documents(docs, ["k"])
-        name = F.when(F.col("node_type") == "h1", "x").otherwise(X.stored(F.col("node_name")))
-        return nodes.select("k", "ordinal", "node_type", name.alias("node_name"), X.stored(F.col("parent_scope")).alias("parent_scope"), X.stored(F.col("signature")).alias("signature"), "start_line", "end_line")
+        nation, docs = _table(spark, sf_dir, "nation"), None
+        for i, case in enumerate(CASES[language]):
+            part = nation.select(F.col("n_nationkey").cast("long").alias("k"), F.lit(i).alias("case_no"), F.lit(language).alias("language"), case.source(F.col("n_nationkey"), F.col("n_name")).alias("content"))
+            docs = part if docs is None else docs.unionByName(part)
+        extra = F.array_join(F.transform(F.array_sort(F.map_entries("extra")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+        text = lambda c: X.stored(F.col(c)).alias(c)
+        return parsers.parse_documents(docs, ["k", "case_no"]).select(
+            "k", "case_no", "ordinal", *map(text, ("node_type", "node_name", "parent_scope", "signature", "content", "documentation")), extra.alias("extra"), "start_line", "end_line", "start_byte", "end_byte")
 
     return query
 
@@ -340,8 +346,9 @@ SQL = {
 
 def queries() -> dict[str, Query]:
     named = {name: globals()[name] for name in [*SQL, "embed_documents"]}
-    return named | {f"{language}_parser": _synthesised(language) for language in CASES}
+    return named | {f"{language}_parser": _synthesised(language) for language in CASES} | tree_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | {f"{language}_parser": case.sql("nation", "n_nationkey", "n_name") for language, case in CASES.items()}
+    cases = {f"{language}_parser": " UNION ALL ".join(case.sql("nation", "n_nationkey", "n_name", i) for i, case in enumerate(cases)) for language, cases in CASES.items()}
+    return SQL | cases | tree_queries.SQL

@@ -47,6 +47,19 @@ def test_typescript():
     assert got[1] == ("public", "@a,@b()", "false") and got[2][0] == "protected" and got[3][2] == "true"
 
 
+def test_typescript_exports_and_decorators():
+    text = "export const enum E { A }\nexport const F = 1;\nclass C {\n  @log public open(): void {}\n  @a.b shut(): void {}\n}\n"
+    assert kinds("typescript", text) == [("export", "default", None), ("enum", "E", None), ("export", "F", None), ("class", "C", None), ("method", "open", "C"), ("method", "shut", "C")]
+    assert brief("typescript", text, "decorators")[4:] == [("@log",), ("@log,@a.b",)]
+
+
+def test_deep_and_long_texts():
+    nodes = parse("html", "<div>" * 6000 + "<h1>x</h1>" + "</div>" * 6000)
+    assert [(n["node_type"], n["parent_scope"]) for n in nodes] == [("h1", "div")]
+    assert len(parse("markdown", "".join(f"{'#' * (1 + i % 6)} t{i}\n" for i in range(20_000)))) == 20_000
+    assert parse("html", "<H1>no</H1><UL><LI>x</UL>") == []
+
+
 def test_rust():
     text = "//! top\n/// A\n/// B\n#[x]\n#[y]\npub struct S;\n// plain\nfn f() {}\nimpl<T> G<T> { fn m(&self) { let s = \"}\"; } }\nuse std::{a, b};\nuse x::*;\nunsafe trait U { fn no(&self); fn yes(&self) {} }\nconst lower: u8 = 1;\n"
     assert kinds("rust", text) == [("struct", "S", None), ("function", "f", None), ("method", "m", "G<T>"), ("trait", "U", None), ("method", "yes", "U"), ("constant", "lower", None)]
