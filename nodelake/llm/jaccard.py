@@ -1,17 +1,21 @@
-"""Similarity join of documents on word shingles by MinHash LSH with fixed bands and exact verification.
+"""Similarity join of documents on word shingles by a MinHash LSH forest and exact verification.
 
 A document's set holds its shingles of ``Settings.shingle`` words (one shingle of all words if it has fewer). Documents
-with equal sets form a *text*, and from here on a text stands for its copies, however many. Texts get MinHash signatures
-of ``Settings.trees`` bands; texts with the same minima in a band meet in a node. All bands hold the same number of minima:
-the most, up to ``Settings.longest``, with which a pair at the similarity threshold meets in some band with the probability
-``Settings.recall`` (:func:`depth`; 4 by default). This is not an LSH forest: no signatures are sorted and no prefixes
-shortened by what was matched, as that number follows from the settings alone. Nodes with two or more texts are what is
-looked at further.
-
-Texts in a node whose signatures agree well enough are linked; connected texts form a neighbourhood; and all pairs of a
-neighbourhood are verified exactly, by products of 0/1 matrices of its texts and shingles. Nodes and neighbourhoods of any
-size are cut into blocks, each pair of blocks is a task's work, and tasks return counts and links to the smallest
-neighbour, never the pairs. Nothing is capped or sampled.
+with equal sets form a *text*, and from here on a text stands for its copies, however many. Texts get a MinHash label of
+``Settings.longest`` minima in each of ``Settings.trees`` tries; texts whose labels in a trie begin with the same d minima
+are under one node at depth d. Nodes are found by grouping on prefixes, hashed to 64 bits, instead of sorting the labels.
+
+The forest is walked from the longest prefixes upwards. At each depth looked at, every pair of texts that share a node there
+is compared once, in the first trie where they do, by the share of minima that agree. A pair of similarity s shares a node at
+depth d with the probability 1 - (1 - s^d)^trees. So the least similar pair found tells how short prefixes must be for
+``Settings.recall``; they are shortened to that, and the pairs that are found then are judged in the same way, until no shorter
+prefix is called for. Where no pair near the threshold has been found, prefixes are shortened at least until one would have
+been seen with the probability ``Settings.seen`` (:func:`needed`).
+
+Texts whose labels agree well enough are linked; connected texts form a neighbourhood; and all pairs of a neighbourhood are
+verified exactly, by products of 0/1 matrices of its texts and shingles. Nodes and neighbourhoods of any size are cut into
+blocks, each pair of blocks is a task's work, and tasks return counts and links to the smallest neighbour, never the
+pairs. Nothing is capped or sampled.
 
 Defined results: a document without words (null or empty text) is linked to none and is a class of its own; rows equal in
 id and text count as copies of each other; the class id is the smallest id in the class (null if all its ids are null);
@@ -37,19 +41,28 @@ class Settings:
     shingle: int = 5
     similarity: float = 0.8
     trees: int = 24
-    longest: int = 8
-    recall: float = 0.99999
+    longest: int = 8  # minima in a label
+    recall: float = 0.99999  # of the least similar pairs that there are
+    seen: float = 0.999  # probability of seeing a pair at the threshold, where none has been seen
+    near: float = 0.03  # above the threshold
     slack: float = 0.2  # how far a signature's estimate may lie below the threshold
-    rows: int = 128  # of a block of a neighbourhood
+    rows: int = 512  # of a block of a neighbourhood
     node: int = 512  # rows of a block of a trie node
     bytes: int = 4 << 20  # of the texts of a block
 
 
-def depth(s: Settings) -> int:
-    """Length of the prefixes that texts must share: the longest that reaches the recall."""
-    for k in range(s.longest, 0, -1):
-        if 1 - (1 - s.similarity**k) ** s.trees >= s.recall:
-            return k
+def meets(similarity: float, depth: int, s: Settings) -> float:
+    """The probability that two texts share a node at a depth."""
+    return 1 - (1 - similarity**depth) ** s.trees
+
+
+def needed(found: dict[float, int], depth: int, s: Settings) -> int:
+    """The longest prefixes, up to ``depth``, that reach the recall for the least similar pairs found at that depth; and
+    with which a single pair at the threshold would be seen, if none is near it."""
+    least = max(s.similarity, min(found, default=1.0))
+    for d in range(depth, 1, -1):
+        if meets(least, d, s) >= s.recall and (meets(s.similarity, d, s) >= s.seen or least < s.similarity + s.near):
+            return d
     return 1
 
 
@@ -92,33 +105,49 @@ def _minima(code: np.ndarray, edge: np.ndarray, count: int) -> np.ndarray:
 
 
 def _sign_task(s: Settings):
-    k = depth(s)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, raw, off in B.steps(batch.column(2)):
                 code, edge = shingles(raw, off, s.shingle)
                 n = np.diff(edge)
                 some = np.flatnonzero(n > 0)
-                keys, signature = np.zeros((len(n), s.trees), B.U), np.zeros((len(n), s.trees * k), np.uint8)
+                label = np.zeros((len(n), s.trees * s.longest), np.uint16)
                 set_of = np.zeros((len(n), 2), B.U)
                 if len(some):
-                    low = _minima(code, np.append(edge[some], len(code)), s.trees * k)
-                    signature[some] = low.astype(np.uint8)
-                    for tree in range(s.trees):
-                        key = np.full(len(some), tree + 1, B.U)
-                        for j in range(tree * k, tree * k + k):
-                            key = B.mix(key * B.U(0x9E3779B97F4A7C15) + low[:, j])
-                        keys[some, tree] = key
+                    label[some] = _minima(code, np.append(edge[some], len(code)), s.trees * s.longest).astype(np.uint16)
                     for part, salt in enumerate((0, 0xA5A5A5A5)):
                         set_of[some, part] = np.add.reduceat(B.mix(code ^ B.U(salt)), edge[some])
                 rows = batch.slice(begin, end - begin)
                 texts = [bytes(x) if c else None for x, c in zip(set_of.view(np.uint8).reshape(len(n), 16), n)]
-                lists = pa.ListArray.from_arrays(pa.array((np.arange(len(n) + 1) * s.trees).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(texts, pa.binary()), pa.array(n), lists, pa.array([x.tobytes() for x in signature], pa.binary()), pa.array(np.diff(off))],
-                    ["id", "digest", "text", "size", "keys", "signature", "bytes"],
-                )
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.binary()), pa.array(n), pa.array([x.tobytes() for x in label], pa.binary()), pa.array(np.diff(off))], ["id", "digest", "text", "size", "label", "bytes"])
+
+    return run
+
+
+def _labels(column, s: Settings) -> np.ndarray:
+    """Minima by text, trie and place in the label."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, s.trees, s.longest)
+
+
+def _prefixes(labels: np.ndarray, depth: int) -> np.ndarray:
+    """By text and trie, the first minima of the label as one number (exact up to four of them)."""
+    out = np.zeros(labels.shape[:2], B.U)
+    for k in range(depth):
+        if k and k % 4 == 0:
+            out = B.mix(out)
+        out ^= labels[:, :, k].astype(B.U) << B.U(16 * (k % 4))
+    return out
+
+
+def _node_task(s: Settings, depth: int):
+    """The nodes of each text: one in each trie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = _prefixes(_labels(batch.column("label"), s), depth)
+            node = B.mix(B.mix(prefix) + np.arange(1, s.trees + 1, dtype=B.U) * B.U(0x9E3779B97F4A7C15))
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("text").take(pa.array(np.repeat(np.arange(n), s.trees))), pa.array(np.tile(np.arange(s.trees), n).astype(np.int32)), pa.array(node.ravel().view(np.int64))], ["text", "tree", "node"])
 
     return run
 
@@ -167,37 +196,84 @@ def _sides(side: np.ndarray, i: int, j: int) -> np.ndarray:
     return side[:, None] != side[None, :] if i != j else ~np.eye(len(side), dtype=bool)
 
 
-def _near_task(s: Settings, hashes: int):
-    least = (s.similarity - s.slack) * hashes
+def _agree(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many minima of texts ``a`` and ``b`` are the same, pair by pair."""
+    flat, out = labels.reshape(len(labels), -1), np.empty(len(a), np.int64)
+    for k in range(0, len(a), 1 << 14):
+        out[k : k + (1 << 14)] = (flat[a[k : k + (1 << 14)]] == flat[b[k : k + (1 << 14)]]).sum(1)
+    return out
+
+
+def _pivoted(labels: np.ndarray, least: float, pivots: int = 16) -> np.ndarray:
+    """A number for each text of a block, the same for texts that a few of them, taken as pivots, are linked with."""
+    out, left = np.arange(len(labels)), np.arange(len(labels))
+    for _ in range(pivots):
+        if len(left) < 2:
+            break
+        near = _agree(labels, np.full(len(left), left[0]), left) >= least
+        out[left[near]] = left[0]
+        left = left[~near]
+    return out
+
+
+def _near_task(s: Settings, depth: int):
+    """Links between texts that share a node (as many as join them), and the number of pairs by agreeing minima."""
+    minima = s.trees * s.longest
+    least, counted = (s.similarity - s.slack) * minima, int(s.similarity * minima)
+
+    def group(labels: np.ndarray, prefix: np.ndarray, tree: int, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Linked pairs, and how well all pairs agree, of those that meet first in this trie. ``side``: which of two blocks
+        a text is in, where the pairs between two blocks are looked at."""
+        met = prefix[:, None, tree] == prefix[None, :, tree]
+        for t in range(tree):
+            met &= prefix[:, None, t] != prefix[None, :, t]
+        met &= np.triu(np.ones(met.shape, bool), 1)
+        if side is not None:
+            met &= side[:, None] != side[None, :]
+        a, b = np.nonzero(met)
+        agree = _agree(labels, a, b)
+        near = agree >= least
+        a, b = a[near], b[near]
+        if side is not None and len(a):  # links inside each block are another task's; here only what joins them
+            own = np.empty(len(side), np.int64)
+            for x in (0, 1):
+                at = np.flatnonzero(side == x)
+                own[at] = at[_pivoted(labels[at], least)]
+            a, b = np.unique(np.stack([own[a], own[b]]), axis=1)
+        if len(a) > 1:  # a tree of links is enough
+            linked = np.zeros(met.shape, bool)
+            linked[a, b] = linked[b, a] = True
+            root = _roots(linked)
+            a = np.flatnonzero(root != np.arange(len(root)))
+            b = root[a]
+        return a, b, agree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(minima + 1, np.int64)
         for table, edge in _groups(batches, 3):
-            texts = table.column("text").to_pylist()
-            signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, hashes)
-            side, i_of, j_of = (table.column(c).to_numpy() for c in ("side", "i", "j"))
-            a, b = [], []
-            for first, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                apart = i_of[first] != j_of[first]
-                if apart and (side[first:end] == side[first]).all():
-                    continue  # the other block is empty; links inside this one are another task's
-                if end - first == 2:
-                    if (signature[first] == signature[first + 1]).sum() >= least:
-                        a.append(texts[first])
-                        b.append(texts[first + 1])
-                    continue
-                own = signature[first:end]
-                agree = np.zeros((len(own), len(own)), np.int32)
-                for j in range(0, hashes, 8):
-                    agree += (own[:, None, j : j + 8] == own[None, :, j : j + 8]).sum(2, dtype=np.int32)
-                linked, sides = (agree >= least) & ~np.eye(len(own), dtype=bool), side[first:end]
-                inside = root_of = _roots(linked & (sides[:, None] == sides[None, :]))
-                if apart:  # links inside each block are another task's; here only what joins them
-                    root_of = np.where(inside == np.arange(len(own)), _roots(linked), np.arange(len(own)))
-                for i, root in enumerate(root_of.tolist()):
-                    if root != i:
-                        a.append(texts[first + i])
-                        b.append(texts[first + root])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            texts, labels = table.column("text").to_pylist(), _labels(table.column("label"), s)
+            prefix = _prefixes(labels, depth)
+            side, tree, i_of, j_of = (table.column(c).to_numpy() for c in ("side", "tree", "i", "j"))
+            first, size = edge[:-1], np.diff(edge)
+            two = first[(size == 2) & ((i_of[first] == j_of[first]) | (side[first] != side[np.minimum(first + 1, len(side) - 1)]))]
+            same = prefix[two] == prefix[two + 1]
+            two = two[same[np.arange(len(two)), tree[two]] & (same.argmax(1) == tree[two])]
+            agree = _agree(labels, two, two + 1)
+            pairs += np.bincount(agree, minlength=minima + 1)
+            a, b = [two[agree >= least]], [two[agree >= least] + 1]
+            for begin, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+                own, apart = slice(begin, begin + n), i_of[begin] != j_of[begin]
+                if apart and (side[own] == side[begin]).all():
+                    continue  # the other block is empty
+                x, y, agree = group(labels[own], prefix[own], int(tree[begin]), side[own] if apart else None)
+                pairs += np.bincount(agree, minlength=minima + 1)
+                a.append(x + begin)
+                b.append(y + begin)
+            a, b = np.concatenate(a).tolist(), np.concatenate(b).tolist()
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([texts[k] for k in a], pa.binary()), pa.array([texts[k] for k in b], pa.binary()), none, none], ["a", "b", "agree", "pairs"])
+        some = counted + np.flatnonzero(pairs[counted:])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.binary()), pa.array(some, pa.int64()), pa.array(pairs[some], pa.int64())], ["a", "b", "agree", "pairs"])
 
     return run
 
@@ -266,23 +342,40 @@ def _dealt(df: DataFrame, group: str) -> DataFrame:
     return df.repartition(scratch.partitions(df.sparkSession), group, "i", "j").sortWithinPartitions(group, "i", "j")
 
 
+def under(texts: DataFrame, depth: int, s: Settings) -> DataFrame:
+    """What :func:`_near_task` returns of all nodes at a depth with two texts or more."""
+    nodes = texts.select("text", "label").mapInArrow(_node_task(s, depth), "text binary, tree int, node long")
+    shared = scratch.table(nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("node").alias("shared"), "n"))
+    members = scratch.table(nodes.join(shared, F.col("node") == F.col("shared")).drop("shared"))
+    labels = texts.select(F.col("text").alias("_text"), "label")
+    met = _in_blocks(members.join(labels, F.col("text") == F.col("_text")), "node", F.ceil(F.col("n") / s.node))
+    dealt = _dealt(met.select("node", "i", "j", "side", "tree", "text", "label"), "node")
+    return scratch.table(dealt.mapInArrow(_near_task(s, depth), "a binary, b binary, agree long, pairs long"))
+
+
+def forest(texts: DataFrame, s: Settings) -> DataFrame:
+    """Links (``a``, ``b``) that connect all similar texts (``text``, ``label``) with the recall of the settings."""
+    depth = s.longest
+    while True:
+        found = under(texts, depth, s)
+        pairs = found.filter("pairs is not null").groupBy("agree").agg(F.sum("pairs").alias("n")).collect()  # as many as minima
+        shorter = needed({r["agree"] / (s.trees * s.longest): r["n"] for r in pairs}, depth, s)
+        if shorter == depth:
+            return found.filter("a is not null").select("a", "b")
+        depth = shorter
+
+
 def join(docs: DataFrame, settings: Settings = Settings(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: ``id``, ``digest`` (MD5 of its text), ``text`` (what stands for its set; null without
     words), ``class_id`` (smallest id of all documents that links connect it with), ``root`` (names the class),
     ``n_copies`` (documents with the same set, itself included), ``n_links`` (other documents at or above the similarity)."""
-    s, hashes = settings, settings.trees * depth(settings)
+    s = settings
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.unhex(F.md5(F.col(text))).alias("digest"), F.col(text).alias("body"))
-    signed = scratch.table(rows.mapInArrow(_sign_task(s), f"id {kind}, digest binary, text binary, size long, keys array<bigint>, signature binary, bytes long"))
+    signed = scratch.table(rows.mapInArrow(_sign_task(s), f"id {kind}, digest binary, text binary, size long, label binary, bytes long"))
     some = signed.filter("text is not null")
-    texts = scratch.table(some.groupBy("text").agg(F.count("*").alias("copies"), F.min("digest").alias("digest"), F.max("bytes").alias("bytes"), F.first("keys").alias("keys"), F.first("signature").alias("signature")))
-
-    nodes = texts.select("text", F.explode("keys").alias("node"))
-    shared = scratch.table(nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("node").alias("shared"), "n"))
-    members = scratch.table(nodes.join(shared, F.col("node") == F.col("shared")).drop("shared"))
-    signatures = texts.select(F.col("text").alias("_text"), "signature")
-    met = _in_blocks(members.join(signatures, F.col("text") == F.col("_text")), "node", F.ceil(F.col("n") / s.node))
-    edges = _dealt(met.select("node", "i", "j", "side", "text", "signature"), "node").mapInArrow(_near_task(s, hashes), "a binary, b binary")
+    texts = scratch.table(some.groupBy("text").agg(F.count("*").alias("copies"), F.min("digest").alias("digest"), F.max("bytes").alias("bytes"), F.first("label").alias("label")))
+    edges = forest(texts, s)
     around = components.label(edges)
 
     placed = scratch.table(around.join(texts.select(F.col("text").alias("_text"), "digest", "copies", "bytes"), F.col("node") == F.col("_text")).select("root", F.col("node").alias("text"), "digest", "copies", "bytes"))

@@ -179,10 +179,29 @@ def test_jaccard_with_empty_blocks(spark):
         assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.report(frame(spark, rows), s).collect()} == want
 
 
-def test_forest_depth():
+def test_forest_shortens_prefixes_until_the_recall():
     s = jaccard.Settings()
-    k = jaccard.depth(s)
-    assert 1 - (1 - s.similarity**k) ** s.trees >= s.recall > 1 - (1 - s.similarity ** (k + 1)) ** s.trees
+    for found in ({0.8: 5}, {0.8: 1, 0.99: 10**7}, {0.7: 3}):
+        d = jaccard.needed(found, s.longest, s)
+        assert jaccard.meets(0.8, d, s) >= s.recall > jaccard.meets(0.8, d + 1, s)
+    longer = jaccard.needed({0.98: 10}, s.longest, s)
+    assert d < longer < s.longest and longer == jaccard.needed({}, s.longest, s) and jaccard.meets(0.8, longer, s) >= s.seen
+    assert jaccard.needed({0.8: 5}, 3, s) == 3
+
+
+def test_forest_recall(spark):
+    """Pairs of every similarity from the threshold up share a node at the depth that is settled on."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(150):
+        words = [f"{k}w{rng.randrange(10**6)}" for _ in range(200)]
+        other = list(words)
+        for at in rng.sample(range(200), rng.randint(0, 3)):
+            other[at] = f"other{at}"
+        rows += [(2 * k, " ".join(words), "en", "s"), (2 * k + 1, " ".join(other), "en", "s")]
+    want = brute.jaccard([(i, t) for i, t, _, _ in rows])
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.report(frame(spark, rows)).collect()}
+    assert got == want and sum(n for _, n in want.values()) > 200
 
 
 def test_components(spark):
