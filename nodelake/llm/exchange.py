@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,17 @@ from . import bytewise as B
 BLOCK = 12 << 20
 
 
+def squeezed(raw) -> bytes:
+    """Texts and numbers are packed before they are shuffled: most numbers are small, and what is sent is read several times."""
+    return pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def expanded(packed, size: int) -> bytes:
+    return pa.Codec("zstd").decompress(packed, size, asbytes=True) if size else b""
+
+
 def texts(docs: DataFrame, text: str, weight: Column | None = None, size: int | None = None) -> tuple[DataFrame, int]:
-    """Distinct texts dealt into blocks (``block``, ``digest``, ``text``, ``rows``, ``weight``: the sum over the rows of a
+    """Distinct texts dealt into blocks (``block``, ``digest``, ``text``: compressed, ``size``: its bytes, ``rows``, ``weight``: the sum over the rows of a
     0/1 column), and the number of blocks, of about ``size`` bytes of text each. Copies are merged as they are read, batch
     by batch, so that a text with many copies is sent a few times only; who gets a block merges the rest."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -35,9 +45,11 @@ def texts(docs: DataFrame, text: str, weight: Column | None = None, size: int |
             weights = np.bincount(inverse, batch.column(2).to_numpy(), len(first)).astype(np.int64)
             own = batch.take(pa.array(first))
             block = np.frombuffer(b"".join(own.column(0).to_pylist()), "<u8")[::2] % B.U(blocks) if len(first) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int64)), own.column(0), own.column(1), pa.array(count.astype(np.int64)), pa.array(weights)], ["block", "digest", "text", "rows", "weight"])
+            packed = pa.array([squeezed(x.as_buffer()) for x in own.column(1)], pa.binary())
+            size = pa.array(np.asarray(pc.binary_length(own.column(1)), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int64)), own.column(0), packed, size, pa.array(count.astype(np.int64)), pa.array(weights)], ["block", "digest", "text", "size", "rows", "weight"])
 
-    return rows.mapInArrow(run, "block long, digest binary, text string, rows long, weight long"), blocks
+    return rows.mapInArrow(run, "block long, digest binary, text binary, size long, rows long, weight long"), blocks
 
 
 def _digests(column: pa.Array) -> np.ndarray:
@@ -55,8 +67,12 @@ def merged(table: pa.Table) -> tuple[list[bytes], pa.Array, np.ndarray, np.ndarr
     names = sorted(order)
     at = {d: k for k, d in enumerate(names)}
     place = np.array([at[d] for d in digest])
+    first, size = [order[d] for d in names], table.column("size").to_numpy()
+    body, edge = table.column("text"), np.concatenate([[0], np.cumsum(size[first])]).astype(np.int64)
+    raw = b"".join(expanded(body[i].as_buffer(), int(size[i])) for i in first)
+    texts = pa.Array.from_buffers(pa.large_string(), len(names), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(raw)])
     sums = [np.bincount(place, table.column(c).to_numpy(), len(names)).astype(np.int64) for c in ("rows", "weight")]
-    return names, table.column("text").take(pa.array([order[d] for d in names])).combine_chunks(), *sums
+    return names, texts, *sums
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -83,11 +99,13 @@ def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def small(values: np.ndarray) -> bytes:
-    """Non-negative integers in as few bytes each as the largest needs."""
+    """Non-negative integers in as few bytes each as the largest needs, compressed."""
     top = int(values.max(initial=0))
     kind = next(k for k in ("u1", "<u2", "<u4", "<u8") if top < 1 << (8 * np.dtype(k).itemsize))
-    return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
+    raw = values.astype(kind).tobytes()
+    return bytes([np.dtype(kind).itemsize]) + len(raw).to_bytes(5, "little") + squeezed(raw)
 
 
 def large(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64)
+    raw = expanded(packed[6:], int.from_bytes(packed[1:6], "little"))
+    return np.frombuffer(raw, f"<u{packed[0]}").astype(np.int64)

@@ -47,26 +47,43 @@ def line_dedup(rows, least=50):
     return out
 
 
-def language_model(rows, d=0.75):
-    """(id, text) -> n_tokens, n_known, N, base score, score of each id."""
+def language_model(rows, d=0.75, least=3):
+    """(id, text) -> n_tokens, n_known, N, base score, score of each id, by an automaton of dictionaries that is walked
+    word by word."""
     token = {i: [*words(t), "\n"] for i, t in rows}
     train = [i for i in token if fold(i, 7) != 2]
-    c, pair, context = Counter(), Counter(), Counter()
+    c, count, arcs = Counter(), Counter(), defaultdict(Counter)
     for i in train:
         c.update(token[i])
-        both = list(zip(["\t", *token[i]], token[i]))
-        pair.update(both)
-        context.update(v for v, _ in both)
+        x = ["\t", *token[i]]
+        for k in range(1, len(x)):
+            arcs[x[k - 1],][x[k]] += 1
+            count[x[k - 1],] += 1
+            if k > 1:
+                arcs[x[k - 2], x[k - 1]][x[k]] += 1
+                count[x[k - 2], x[k - 1]] += 1
     n, v = sum(c.values()), len(c)
-    follow = Counter(a for a, _ in pair)
+    states = {h for h in arcs if len(h) == 1 or count[h] >= least} | {()}
+
+    def p(h, w):
+        if not h:
+            return (c[w] - d) / n if c[w] else d * v / n
+        back = d * len(arcs[h]) / count[h]
+        return ((arcs[h][w] - d) / count[h] if arcs[h][w] else 0) + back * p(h[1:], w)
+
     out = {}
     for i, x in token.items():
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x)
-        score = 0.0
-        for a, w in zip(["\t", *x], x):
-            back = d * follow[a] / context[a] if context[a] else 1.0
-            root = (c[w] - d) / n if c[w] else d * v / n
-            score += math.log10((pair[a, w] - d) / context[a] + back * root if pair[a, w] else back * root)
+        score, state = 0.0, ("\t",) if ("\t",) in states else ()
+        for w in x:
+            h = state
+            while h and not arcs[h][w]:  # failure arcs
+                score += math.log10(d * len(arcs[h]) / count[h])
+                h = h[1:]
+            score += math.log10(p(h, w))
+            state = (*state, w)[-2:]
+            while state not in states:
+                state = state[1:]
         out[i] = len(x), sum(c[w] > 0 for w in x), n, base, score
     return out
 

@@ -73,11 +73,7 @@ def test_line_dedup_of_repeated_rows_and_null_ids(spark):
 
 
 def test_language_model(table, docs, empty):
-    exchange.BLOCK, before = 100_000, exchange.BLOCK
-    try:
-        got = by_id(lm.report(table))
-    finally:
-        exchange.BLOCK = before
+    got = by_id(lm.report(table, lm.Settings(block=100_000)))
     for i, (n, known, total, base, score) in brute.language_model([(i, t) for i, t, _, _ in docs]).items():
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (n, known, total, brute.fold(i, 7) == 2)
@@ -87,6 +83,22 @@ def test_language_model(table, docs, empty):
     assert lm.report(empty).count() == 0
 
 
+def test_language_model_states_help(table):
+    """With pairs as states, held-out texts are likelier than with words alone; long texts go in pieces."""
+    with_pairs, without = (sum(r["score"] for r in lm.report(table, s).collect() if r["held_out"]) for s in (lm.Settings(), lm.Settings(least=1 << 40)))
+    assert with_pairs > without
+
+
+def test_exchange_messages(spark, table):
+    """No message without keys; numbers and texts come out of their packing as they went in."""
+    for x in ([], [0], [3, 1, 70_000], list(range(1000)), [1 << 40]):
+        assert exchange.large(exchange.small(np.array(x, np.int64))).tolist() == x
+    blocks, n = exchange.texts(table, "text", size=50_000)
+    texts = {r["text"] or "" for r in table.select("text").collect()}
+    got = [t for (_,), t in ((k, exchange.merged(pa.Table.from_pandas(v, preserve_index=False))[1].to_pylist()) for k, v in blocks.toPandas().groupby(["block"]))]
+    assert n > 5 and sorted(x for t in got for x in t) == sorted(texts)
+
+
 def test_language_model_without_training(spark):
     got = lm.score(frame(spark, [(1, "a b", "en", "s")]), F.lit(False)).first()
     assert (got["n_tokens"], got["n_known"], got["train_tokens"], got["score"], got["base_score"]) == (3, 0, 0, 0.0, 0.0)
