@@ -330,13 +330,16 @@ def score(docs: DataFrame, trained: Column, settings: Settings = Settings(), id:
             rows = [block.digests, block.sizes, np.add.reduceat((count > 0).astype(np.int64), block.first), base, logs, unknown]
         return pa.table([pa.array(x, t) for x, t in zip(rows, (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))], ["digest", "n_tokens", "n_known", "base", "logs", "unknown"])
 
-    asked = blocks.groupBy("block").applyInArrow(ask_pairs, _ASK)
-    first = asked.groupBy("bucket", "part").applyInArrow(_count, _ANSWER)
-    second = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ask_more, _ASK).groupBy("bucket", "part").applyInArrow(_count, _ANSWER)
-    told = blocks.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(tell_followers, _ASK)
-    third = asked.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_count_followers, _ANSWER)
+    # each answer is dealt by block once, and unions of answers keep that; so are the keys asked by bucket
+    parts = scratch.partitions(docs.sparkSession)
+    asked = blocks.groupBy("block").applyInArrow(ask_pairs, _ASK).repartition(parts, "bucket")
+    first = asked.groupBy("bucket", "part").applyInArrow(_count, _ANSWER).repartition(parts, "block")
+    more = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ask_more, _ASK).repartition(parts, "bucket")
+    second = first.union(more.groupBy("bucket", "part").applyInArrow(_count, _ANSWER).repartition(parts, "block"))
+    told = blocks.groupBy("block").cogroup(second.groupBy("block")).applyInArrow(tell_followers, _ASK)
+    third = second.union(asked.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_count_followers, _ANSWER).repartition(parts, "block"))
     shape = "digest binary, n_tokens long, n_known long, base double, logs double, unknown long"
-    found = scratch.table(blocks.groupBy("block").cogroup(first.union(second).union(third).groupBy("block")).applyInArrow(conclude, shape).withColumnRenamed("digest", "_digest"))
+    found = scratch.table(blocks.groupBy("block").cogroup(third.groupBy("block")).applyInArrow(conclude, shape).withColumnRenamed("digest", "_digest"))
     totals = found.filter("_digest is null").first()
     known, tokens = (totals["n_tokens"], totals["n_known"]) if totals else (0, 0)
     unknown = F.log10(F.lit(s.discount * known / tokens)) if tokens else F.lit(0.0)

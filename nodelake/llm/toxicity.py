@@ -36,7 +36,8 @@ class Settings:
     longest: int = 6
     bucket_bits: int = 18
     size: int = 8
-    words: int = 40
+    words: int = 3
+    weight: float = 1.0  # of a row with label 1
     rows_each: tuple[int, int] = (6000, 2000)  # of label 0, of label 1
     rounds: int = 12
     batch: int = 128
@@ -122,7 +123,7 @@ def fit(texts: pa.Array, labels: np.ndarray, s: Settings = Settings()) -> Model:
             value = 1.0 / total[rows]
             delta = softmax[1] - softmax[0]
             z = np.bincount(rows, value * (embedding @ delta)[ids], len(batch)) + bias[1] - bias[0]
-            wrong = (1 / (1 + np.exp(-z)) - labels[batch]) / len(batch)  # d loss / d log-odds
+            wrong = (1 / (1 + np.exp(-z)) - labels[batch]) * np.where(labels[batch] == 1, s.weight, 1.0) / len(batch)  # d loss / d log-odds
             pull = np.bincount(ids, value * wrong[rows], size).astype(np.float32)
             d_delta = pull @ embedding
             gradients = (pull[:, None] * delta, np.stack([-d_delta, d_delta]), np.array([-wrong.sum(), wrong.sum()], np.float32))
