@@ -7,12 +7,13 @@ passages of equally many words, each is scored, and the text's score is its high
 as much as in a short one. In training, too, a text is represented by its highest passage (its mean, in the first
 rounds).
 
-Training uses a bounded sample (``Settings.rows_each`` texts of each label, those lowest by a hash of the id) and runs
-in numpy on the driver. Since the softmax has two classes, a passage's log-odds are the mean over its n-grams of one
+Training uses a bounded sample (``Settings.rows_each`` texts of each label, those lowest by a hash of the id, as far as
+``Settings.bytes`` go; a text that doesn't fit is passed over) and runs in numpy on the driver. Since the softmax has two classes, a passage's log-odds are the mean over its n-grams of one
 number by bucket, embedding . (difference of the softmax's rows); only these numbers go to the executors.
 
 Defined results: a null, empty or wordless text has the score of an average of nothing (the bias alone); with labels of
-one class only, or none, that is a constant score; repeated labels of an id count as toxic if one does; other columns
+one class only, or none, that is a constant score; repeated labels of an id count as toxic if one does; of several rows with
+a labelled id the least text is learned from; repeated rows are scored each; other columns
 are ignored. Long texts are scored whole.
 """
 
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytewise as B
+from . import scratch
 
 
 @dataclass(frozen=True)
@@ -37,8 +39,9 @@ class Settings:
     bucket_bits: int = 18
     size: int = 8
     words: int = 3
-    weight: float = 1.0  # of a row with label 1
-    rows_each: tuple[int, int] = (6000, 2000)  # of label 0, of label 1
+    weight: float = 4.0  # of a row with label 1
+    rows_each: tuple[int, int] = (6000, 2000)  # of label 0, of label 1, at most
+    bytes: int = 64 << 20  # of their texts together, at most
     rounds: int = 12
     batch: int = 128
     mean_rounds: int = 3
@@ -146,8 +149,15 @@ def sample(docs: DataFrame, labels: DataFrame, s: Settings, id: str, text: str,
         chosen = part if chosen is None else chosen.unionByName(part)
     ids = chosen.toPandas()  # of sum(rows_each) rows at most, so they can be broadcast
     few = docs.sparkSession.createDataFrame(ids, T.StructType([T.StructField("_id", docs.schema[id].dataType), T.StructField("_toxic", T.IntegerType())]))
-    got = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(few), "_id").select("_id", "_toxic", "_text").toArrow()
-    got = got.sort_by([("_id", "ascending")])
+    found = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(few), "_id").groupBy("_id", "_toxic").agg(F.min("_text").alias("_text"))
+    found = scratch.table(found.withColumn("_bytes", F.coalesce(F.octet_length("_text"), F.lit(0))))
+    left, fits = s.bytes, []
+    for r in found.select("_id", "_bytes", F.xxhash64("_id").alias("_hash")).orderBy("_hash", "_id").collect():  # sizes alone
+        if r["_bytes"] <= left:
+            left -= r["_bytes"]
+            fits.append((r["_id"],))
+    kept = F.broadcast(docs.sparkSession.createDataFrame(fits, T.StructType([T.StructField("_id", docs.schema[id].dataType)])))
+    got = found.join(kept, "_id", "left_semi").select("_id", "_toxic", F.lower("_text").alias("_text")).toArrow().sort_by([("_id", "ascending")])
     return got["_text"].combine_chunks(), got["_toxic"].to_numpy().astype(np.int64)
 
 
