@@ -124,21 +124,23 @@ class Encoder:
         return sum([k[0] for k in known]), ids.hexdigest(), decoded.hexdigest()
 
 
-_encoders: dict[tuple[int, str], Encoder] = {}
+_encoders: dict[tuple[str, str], Encoder] = {}
 
 
 def _encoder(ranks, pattern: str) -> Encoder:
-    """One encoder for each Python worker and vocabulary."""
-    key = (id(ranks.value), pattern)
-    if key not in _encoders:
+    """One encoder for each Python worker, and vocabulary by its content."""
+    digest, known = ranks.value
+    if (digest, pattern) not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(ranks.value, pattern)
-    return _encoders[key]
+        _encoders[digest, pattern] = Encoder(known, pattern)
+    return _encoders[digest, pattern]
 
 
 def _shared(df: DataFrame, path: str):
     """The vocabulary is a file of fixed size, read once by the driver: tens of thousands of short byte strings."""
-    return df.sparkSession.sparkContext.broadcast(read_ranks(path))
+    known = read_ranks(path)
+    digest = hashlib.sha256(b"".join(b"%d %s\n" % (rank, token.hex().encode()) for token, rank in known.items())).hexdigest()
+    return df.sparkSession.sparkContext.broadcast((digest, known))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:
@@ -160,7 +162,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> D
     ranks = _shared(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: x for x, rank in ranks.value.items()}
+        token = {rank: x for x, rank in ranks.value[1].items()}
         for batch in batches:
             out = pa.array([b"".join([token[i] for i in row or []]) for row in batch.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, to])
