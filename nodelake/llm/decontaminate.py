@@ -8,10 +8,12 @@ q-gram lemma). So shared q-grams are counted by section of a benchmark text and
 sections that hold enough of them; bands overlap by half, so that any such group of diagonals is whole in one of them.
 Regions whose count reaches the bound are aligned with the passage in a band of diagonals, and kept if the alignment
 takes at most e edits. A benchmark text of less than ``Settings.least`` bytes is searched as it is, without edits, and
-counts where no letter or digit goes on at either end. Case is folded for all of Unicode and
-white space counts as a space before comparison; edits are counted in bytes of the folded text.
+counts where no letter or digit goes on at either end. Case is folded for all of Unicode and any run of
+white space counts as one space before comparison; edits are counted in bytes of the folded text.
 
-The benchmark is read in blocks of bounded size, each compared with all documents.
+The benchmark is read in blocks of bounded size, each compared with all documents; all texts of an item are in one block (an
+item of more than that makes a larger one). Where a q-gram is frequent in a document and in the benchmark, shared q-grams are
+counted in portions, so that repetitive text takes time but no more memory.
 
 Defined results: null and empty documents match nothing, nor do blank benchmark texts; of passages that overlap in their
 benchmark text, that with fewest edits counts; a document with several copies of a passage yields one row with the best of them; repeated
@@ -32,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import bytewise as B
 
@@ -44,6 +47,7 @@ class Settings:
     least: int = 40  # bytes of a benchmark text that is searched with edits, at least
     edits: float = 0.08  # of a passage's bytes
     block: int = 2 << 20  # bytes of the benchmark that are compared at once
+    portion: int = 1 << 21  # shared q-grams that are counted at once
 
 
 #: Bytes of a q-gram: eight fill one 64-bit number.
@@ -73,7 +77,19 @@ def _uneven() -> tuple[re.Pattern, dict[str, int]]:
 
 
 def folded(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, Callable[[int], int]]:
-    """A run of texts with case folded, the offsets of its texts, and what takes a place in it back to one in ``raw``."""
+    """A run of texts with case folded and single spaces, the offsets of its texts, and what takes a place in it back to one
+    in ``raw``."""
+    out, off, back = _case_folded(raw, off)
+    keep = np.ones(len(out), bool)
+    keep[1:] = (out[1:] != 32) | (out[:-1] != 32)
+    keep[off[:-1][off[:-1] < len(out)]] = True  # a text's first byte
+    if keep.all():
+        return out, off, back
+    place, after = np.append(np.flatnonzero(keep), len(out)), np.concatenate([[0], np.cumsum(keep)])
+    return out[keep], after[off], lambda z: back(int(place[z]))
+
+
+def _case_folded(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, Callable[[int], int]]:
     if not (raw >= 0x80).any():
         return FOLD[raw], off, int
     text = raw.tobytes().decode("utf-8", "surrogateescape")
@@ -155,7 +171,7 @@ class Passages:
         self.edits = (self.sizes * s.edits).astype(np.int64)
         self.bound = np.maximum(self.sizes + 1 - Q * (self.edits + 1), 1)
         self.least = np.minimum.reduceat(self.bound, self.sections[:, 0]) if len(self.sections) else self.bound
-        self.reach = int(self.edits.max(initial=0)) + 1
+        self.reach, self.portion = int(self.edits.max(initial=0)) + 1, s.portion
         every = np.concatenate([np.zeros(0, B.U), *codes])
         order = np.argsort(every, kind="stable")
         self.codes, self.first = np.unique(every[order], return_index=True)
@@ -182,22 +198,34 @@ class Passages:
         known = self.codes[place] == codes[at]
         at, place = at[known], place[known]
         n = self.count[place]
-        entry = np.repeat(self.first[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        section, offset = self.section[entry], self.offset[entry]
-        key = section << 32 | (np.repeat(at, n) - offset + (1 << 30)) // self.reach
+        cut = np.searchsorted(np.cumsum(n), np.arange(0, int(n.sum()), self.portion), "left")
+        portions = [slice(a, z) for a, z in zip(np.unique(cut), [*np.unique(cut)[1:], len(n)]) if z > a]
+
+        def shared(p: slice) -> tuple[np.ndarray, np.ndarray]:
+            """Section and diagonal band, and offset in the section, of each shared q-gram."""
+            m = n[p]
+            entry = np.repeat(self.first[place[p]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            offset = self.offset[entry]
+            return self.section[entry] << 32 | (np.repeat(at[p], m) - offset + (1 << 30)) // self.reach, offset
+
         # a band's pair holds its own diagonals and the next band's
-        keys = np.concatenate([key, key - 1])
-        keys.sort()
-        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
-        keys = keys[first[np.diff(np.append(first, len(keys))) >= self.least[keys[first] >> 32]]]
+        keys, sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for p in portions:
+            key, _ = shared(p)
+            some, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+            keys, number = np.unique(np.concatenate([keys, some]), return_inverse=True)
+            sizes = np.bincount(number, np.concatenate([sizes, count]), len(keys)).astype(np.int64)
+        keys = keys[sizes >= self.least[keys >> 32]] if len(keys) else keys
         if not len(keys):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         held = []
-        for k in (key, key - 1):
-            group = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-            own = keys[group] == k
-            held.append(group[own] << 32 | offset[own])
-        held = np.sort(np.concatenate(held))
+        for p in portions:
+            key, offset = shared(p)
+            for k in (key, key - 1):
+                group = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                own = keys[group] == k
+                held.append(np.unique(group[own] << 32 | offset[own]))
+        held = np.unique(np.concatenate(held))  # each q-gram of a passage counts once in a band
         passages, groups = [], []
         for a in range(0, len(keys), 1 << 12):
             span = self.sections[keys[a : a + (1 << 12)] >> 32]
@@ -292,12 +320,12 @@ class Passages:
 
 
 def blocks(benchmark: DataFrame, s: Settings, item: str, text: str) -> Iterator[list[tuple[object, str]]]:
-    """The benchmark in blocks of about ``s.block`` bytes, chosen by a hash of the text."""
+    """The benchmark in blocks of about ``s.block`` bytes, chosen by a hash of the item."""
     rows = benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).filter("t is not null")
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = total // s.block + 1
     for part in range(parts):
-        yield [(r.i, r.t) for r in sorted(rows.filter(F.pmod(F.xxhash64("t"), F.lit(parts)) == part).collect(), key=lambda r: (str(r.i), r.t))]
+        yield [(r.i, r.t) for r in sorted(rows.filter(F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(parts)) == part).collect(), key=lambda r: (str(r.i), r.t))]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -313,6 +341,8 @@ def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(),
 
 
 def _search(shared, shape: T.StructType):
+    kind = to_arrow_type(shape.fields[1].dataType)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Passages = shared.value
         for batch in batches:
@@ -330,7 +360,7 @@ def _search(shared, shape: T.StructType):
                     got[2:] = min(got[2], start), max(got[3], end)
             rows = sorted(out.items(), key=lambda x: (x[0][0], str(x[0][1])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array([k[0] for k, _ in rows], pa.int64())), pa.array([k[1] for k, _ in rows], pa.int64()), *(pa.array([v[i] for _, v in rows], pa.int64()) for i in range(4))],
+                [batch.column(0).take(pa.array([k[0] for k, _ in rows], pa.int64())), pa.array([k[1] for k, _ in rows], kind), *(pa.array([v[i] for _, v in rows], pa.int64()) for i in range(4))],
                 shape.names,
             )
 
