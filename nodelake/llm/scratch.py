@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's shared folder; one of our own only where the session names none (tests)."""
+    """The session's shared folder; one of our own only where the session names none and runs in one process (tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         there = tempfile.mkdtemp(prefix="nodelake-")
         spark.conf.set("spark.checkpoint.dir", there)
     return f"{there.rstrip('/')}/nodelake-{spark.sparkContext.applicationId}"
@@ -29,10 +31,16 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Remove everything :func:`table` has written for this application. Call it when no result is read any more."""
+def clear(spark: SparkSession, *keep: DataFrame) -> None:
+    """Remove what :func:`table` has written for this application, but for tables that are to be kept. Call it when no other
+    result is read any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    kept = {"/".join(f.split("/")[:-1]).rsplit("/", 1)[-1] for df in keep for f in df.inputFiles()}
+    if files.exists(path):
+        for s in files.listStatus(path):
+            if s.getPath().getName() not in kept:
+                files.delete(s.getPath(), True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -148,6 +148,54 @@ def test_decontamination_of_parts_and_short_items(spark):
     assert {r["doc_id"] for r in decontaminate.clean(frame(spark, rows), items).collect()} == {101, 102, 104}
 
 
+def test_decontamination_of_items_of_any_type_and_repeated_ids(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(30))
+    a, b, c = text(), text(), text()
+    items = spark.createDataFrame([("x", a), ("x", b), ("y", c), ("y", c), (None, "short one")], "item_id string, text string")
+    rows = [(1, f"{a} between {b}", "en", "s"), (2, c.replace(" ", "  \n "), "en", "s"), (2, c.replace(" ", "  \n "), "en", "s"), (3, "a short one", "en", "s"), (4, text(), "en", "s")]
+    want = None
+    for size in (decontaminate.Settings(), decontaminate.Settings(block=60), decontaminate.Settings(portion=50)):
+        got = sorted((r["doc_id"], str(r["item_id"]), r["passages"], r["edits"]) for r in decontaminate.find(frame(spark, rows), items, size).collect())
+        assert [g[:2] for g in got] == [(1, "x"), (2, "y"), (2, "y"), (3, "None")] and all(g[3] == 0 for g in got)
+        want = want or got
+        assert got == want
+
+
+def test_decontamination_of_repetitive_text():
+    """A document and an item full of one q-gram are compared in portions."""
+    index = decontaminate.Passages([(0, "na" * 200), (1, "x" * 300)], decontaminate.Settings(portion=10_000))
+    document = ("start " + "na" * 3000 + " end " + "y" * 5000).encode()
+    found = index.matches(np.frombuffer(document, np.uint8), np.array([0, len(document)]))
+    assert found and {index.items[p] for _, p, *_ in found} == {0} and all(e == 0 for _, _, e, *_ in found)
+
+
+def test_decontamination_finds_what_plain_alignment_finds():
+    """Best edits of each passage in a short text, by dynamic programming over the whole text."""
+    rng = random.Random(13)
+    words = ["tree", "river", "stone", "cloud", "sand", "fern", "moss"]
+    for _ in range(12):
+        item = " ".join(rng.choice(words) + str(rng.randrange(100)) for _ in range(14))
+        index = decontaminate.Passages([(0, item)], decontaminate.Settings())
+        copy = list(item)
+        for _ in range(rng.randint(0, 8)):
+            copy[rng.randrange(len(copy))] = rng.choice(["", "q", "zz"])
+        document = "some words before " + "".join(copy) + " and some after"
+        raw = np.frombuffer(document.encode(), np.uint8)
+        got = {p: e for _, p, e, *_ in index.matches(raw, np.array([0, len(raw)]))}
+        want = {}
+        for p in range(index.n_long):
+            body = bytes(index.body[index.body_at[p] : index.body_at[p] + index.sizes[p]]).decode()
+            row = [0] * (len(document) + 1)
+            for i, x in enumerate(body, 1):
+                row, last = [i], row
+                for k, y in enumerate(document, 1):
+                    row.append(min(last[k] + 1, row[k - 1] + 1, last[k - 1] + (x != y)))
+            if min(row) <= index.edits[p]:
+                want[p] = min(row)
+        assert got == want
+
+
 def test_alignment_counts_edits():
     rng = random.Random(5)
     for _ in range(60):
@@ -425,6 +473,23 @@ def test_markers(spark):
     assert [int(x) for x in got] == [2, 3, 2, 1, 3, 2, 0, 0, 0, 3]
 
 
+def test_toxicity_on_the_tables(spark):
+    """Held-out documents of the larger table, with settings that were chosen on its training rows alone."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = by_id(toxicity.detect(spark.read.parquet(f"{sf}/documents.parquet"), labels))
+    held = [(got[r["doc_id"]]["predicted"], r["toxic"]) for r in labels.collect() if got[r["doc_id"]]["held_out"]]
+    assert sum(p for p, t in held if t) >= 0.9 * sum(t for _, t in held)
+    assert sum(p for p, t in held if not t) <= 0.02 * sum(not t for _, t in held)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(i, f"text {i} " + "word " * 50, "en", "s") for i in range(50)] * 3 + [(99, "long " * 10_000, "en", "s")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    texts, marks = toxicity.sample(frame(spark, rows), labels, toxicity.Settings(rows_each=(10, 60), bytes=5000), "doc_id", "text", "toxic")
+    assert 0 < len(texts) == len(marks) < 25 and sum(len(x) for x in texts.to_pylist()) <= 5000
+
+
 def test_toxicity(spark, table, empty):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 7)))
