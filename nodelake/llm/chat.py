@@ -11,8 +11,11 @@ any two states at the ends of a segment form a small matrix, matrices of a trans
 fixes the states at each segment's borders, between which each segment is then solved on its own. Short transcripts are
 solved together, many at a time.
 
-The query (:func:`recover`) writes labelled turns as transcripts, one text for each conversation, trains on them, parses the
-texts, and then looks up which parsed turns hold the lines of each true one. Defined results: rows equal in conversation,
+A marker is taken off a turn only where the transcript shows that it is one: the same shape of marker stands at half of its
+turns or more, for two roles at least, and the marker's role is the one that was decoded. All other text is kept as it is.
+
+The query (:func:`recover`) writes labelled turns as transcripts, one text for each conversation, parses those of each half of
+the conversations with tables trained on the other half, and then looks up which parsed turns hold the lines of each true one. Defined results: rows equal in conversation,
 turn, role and text are one turn, with their number in ``n_rows``; turns equal in number are ordered by a hash of their
 texts; a null turn counts as turn 0; a row without a conversation is a conversation of its own; a null text is one blank
 line; a role other than the three known ones is taken as unknown; other columns are ignored. Without any labelled turn all
@@ -21,6 +24,7 @@ states are equally likely, and lines follow their markers.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +54,8 @@ STYLES = (
 STATES = 2 * len(ROLES)  # by role: first line of a turn, later line
 FEATURES = 10
 SYMBOLS = (len(ROLES) + 1) * FEATURES
+#: Weight, in lines, of what is expected of a symbol before it is counted.
+PRIOR = 10
 #: Lines in a segment.
 LINES = 256
 
@@ -68,9 +74,21 @@ def symbol(line: Column) -> Column:
     return (marker * FEATURES + length * 2 + line.rlike(r"\?\s*$").cast("int")).cast("int")
 
 
-def unmarked(line: Column) -> Column:
-    """A line without its speaker's marker."""
-    return F.regexp_replace(line, "|".join(f"(?:{_pattern(role)})" for role in ROLES) + r"", "")
+#: Markers as they may be taken off a turn's first line: a heading only where it is the whole line.
+_OFF = tuple({role: re.compile(shape.format(names)) for role, names in MARKERS.items()} for shape in (SHAPES[0] + r"\s?", r"(?i)^\s*#+\s*(?:{0})\s*:?\s*$", SHAPES[2], SHAPES[3] + r"\s*:?"))
+
+
+def unmarked(roles: list[str], firsts: list[str]) -> list[str]:
+    """First lines of a transcript's turns, without the markers that it uses."""
+    found = [next(((i, role, m.end()) for i, shape in enumerate(_OFF) for role, pattern in shape.items() if (m := pattern.match(line))), None) for line in firsts]
+    out = list(firsts)
+    for i in range(len(_OFF)):
+        own = [k for k, f in enumerate(found) if f and f[0] == i]
+        if 2 * len(own) >= len(firsts) and len({found[k][1] for k in own}) > 1:
+            for k in own:
+                if found[k][1] == roles[k]:
+                    out[k] = firsts[k][found[k][2] :]
+    return out
 
 
 def transcripts(turns: DataFrame) -> DataFrame:
@@ -121,13 +139,20 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Logarithms of emission and transition probabilities, counted over transcripts whose turns are known: ``symbols`` of
     all lines, and of each turn its role (``roles``) and its lines (``sizes``)."""
     counted = labelled.select("symbols", "roles", "sizes").mapInArrow(_count_task, "kind long, i long, j long, n long")
-    emit, move = np.full((STATES, SYMBOLS), 0.1), np.full((STATES, STATES), 0.1)
+    count, move = np.zeros((STATES, SYMBOLS)), np.full((STATES, STATES), 0.1)
     for r in counted.groupBy("kind", "i", "j").agg(F.sum("n").alias("n")).collect():  # as many as the matrices have fields
-        (move if r["kind"] else emit)[r["i"], r["j"]] += r["n"]
+        (move if r["kind"] else count)[r["i"], r["j"]] += r["n"]
     for i in range(STATES):  # a later line follows a line of the same role
         for j in range(1, STATES, 2):
             if i // 2 != j // 2:
                 move[i, j] = 1e-9
+    # rare symbols: as if markers and features were independent; before anything is counted, turns begin with their markers
+    marker = count.reshape(STATES, -1, FEATURES).sum(2) + 0.01
+    for i in range(STATES):
+        marker[i, i // 2 + 1 if i % 2 == 0 else 0] += 1
+    feature = count.reshape(STATES, -1, FEATURES).sum(1) + 1
+    apart = (marker / marker.sum(1, keepdims=True))[:, :, None] * (feature / feature.sum(1, keepdims=True))[:, None]
+    emit = count + PRIOR * apart.reshape(STATES, SYMBOLS)
     return np.log(emit / emit.sum(1, keepdims=True)), np.log(move / move.sum(1, keepdims=True))
 
 
@@ -226,7 +251,8 @@ def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["first"] += bounds[:-1]
             out["lines"] += np.diff(bounds).tolist()
             out["role"] += [ROLES[i] for i in (path[first] // 2).tolist()]
-            out["body"] += ["\n".join(lines[a:z]) for a, z in zip(bounds, bounds[1:])]
+            heads = unmarked(out["role"][edge[-1] :], [lines[a] for a in bounds[:-1]])
+            out["body"] += ["\n".join([head, *lines[a + 1 : z]]).strip() for head, a, z in zip(heads, bounds, bounds[1:])]
             edge.append(len(out["first"]))
         members = pa.StructArray.from_arrays([pa.array(out[c], t) for c, t in kinds.items()], list(kinds))
         yield pa.RecordBatch.from_arrays([batch.column("conv"), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), members)], ["conv", "turns"])
@@ -247,9 +273,8 @@ def _turns(seen: DataFrame, emit: np.ndarray, move: np.ndarray) -> DataFrame:
     whole = solved.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("segment", "states"))).alias("x"))
     whole = whole.select(F.col("conv").alias("_conv"), F.aggregate("x", F.lit(b""), lambda a, x: F.concat(a, x["states"])).alias("states"))
     long = seen.filter(n > LINES).join(whole, F.col("conv") == F.col("_conv")).select("conv", "text", "states")
-    body = F.regexp_replace(unmarked(F.col("body")), r"^\s+|\s+$", "")
     each = short.unionByName(long).mapInArrow(_cut_task, "conv long, turns array<struct<first: long, lines: long, role: string, body: string>>")
-    return each.select("conv", F.inline("turns")).withColumn("rendered", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), body, F.lit("\n<|end|>\n"))).drop("body")
+    return each.select("conv", F.inline("turns")).withColumn("rendered", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("body"), F.lit("\n<|end|>\n"))).drop("body")
 
 
 def parse(transcripts: DataFrame, emit: np.ndarray, move: np.ndarray, id: str = "conv_id", text: str = "text") -> DataFrame:
@@ -299,12 +324,16 @@ def written(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
 
 
 def recover(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Write turns as transcripts, parse those, and look up the true turns: conversation, ``turn``, ``role``, ``n_rows``,
+    """Write turns as transcripts, parse each half of those with what the other half teaches, and look up the true turns: conversation, ``turn``, ``role``, ``n_rows``,
     ``role_pred`` (of its first line), ``starts`` (whether a parsed turn begins there), ``rendered`` (the parsed turns that
     hold its lines)."""
     told = scratch.table(observe(written(turns, conv, turn, role, text).withColumn("conv", F.monotonically_increasing_id())))  # read several times
-    emit, move = train(told.withColumns({"roles": F.col("spans.role"), "sizes": F.col("spans.size")}))
-    found = _turns(told, emit, move).groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("first", "lines", "role", "rendered"))).alias("turns"))
+    half, found = F.pmod(F.xxhash64("text"), F.lit(2)), None
+    labelled = told.withColumns({"roles": F.col("spans.role"), "sizes": F.col("spans.size")})
+    for k in (0, 1):
+        part = _turns(told.filter(half == k), *train(labelled.filter(half != k)))
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("first", "lines", "role", "rendered"))).alias("turns"))
     truth = told.select(F.col("conv").alias("_conv"), "conv_id", "spans")
     joined = found.join(truth, F.col("conv") == F.col("_conv")).select("conv_id", "spans", "turns")
     names = [conv, "turn", "role", "n_rows", "role_pred", "starts", "rendered"]

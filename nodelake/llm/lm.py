@@ -40,7 +40,7 @@ from . import scratch
 class Settings:
     discount: float = 0.75
     least: int = 3  # occurrences of a pair that is a state
-    block: int | None = None  # bytes of text in a block
+    block: int | None = 8 << 20  # bytes of text in a block
 
 
 START, END = (int(x) for x in B.mix(np.array([0x5354415254, 0x454E44], B.U)))
@@ -209,7 +209,7 @@ class Automaton:
         inner = (word_count > 0) & (followers > 0)
         pair_states = (pair_count >= s.least) & (pair_followers > 0)
         # failure arcs, by state: words, then pairs
-        self.failure = np.concatenate([np.full(words, -1), self._ends(block)])
+        self.failure = np.concatenate([np.full(words, -1, np.int32), self._ends(block)])
         with np.errstate(divide="ignore", invalid="ignore"):
             fail = np.concatenate([np.where(inner, d * followers / np.maximum(word_count, 1), 1.0), np.where(pair_states, d * pair_followers / np.maximum(pair_count, 1), 1.0)])
             self.failure_log = np.log10(fail)
@@ -226,16 +226,16 @@ class Automaton:
             from_pair[block.at] = np.where(found, (three - d) / np.maximum(pair_count[before], 1) + fail[words + before] * lower[block.at], 0.0)
             self.arc_logs = np.stack([np.log10(from_pair), np.log10(from_word), np.where(known, np.log10(root), 0.0)])
         self.has = np.stack([from_pair > 0, from_word > 0, np.ones(len(arc), bool)])
-        self.source = np.stack([np.where(block.before >= 0, words + block.before, -2), block.context, np.full(len(arc), -1)])  # the states that the arcs start from
+        self.source = np.stack([np.where(block.before >= 0, words + block.before, -2), block.context, np.full(len(arc), -1)]).astype(np.int32)  # the states that the arcs start from
         # the longest state that the words up to a token end with
-        self.target = np.where(pair_states[block.pair], words + block.pair, np.where(inner[block.token], block.token, -1))
+        self.target = np.where(pair_states[block.pair], words + block.pair, np.where(inner[block.token], block.token, -1)).astype(np.int32)
         self.unknown = ~known
         self.block, self.inner = block, inner
 
     @staticmethod
     def _ends(block: Block) -> np.ndarray:
         """By pair, its second word."""
-        out = np.empty(len(block.pairs), np.int64)
+        out = np.empty(len(block.pairs), np.int32)
         out[block.pair] = block.token
         return out
 
@@ -253,7 +253,7 @@ class Automaton:
         order = np.argsort(-size, kind="stable")
         text, begin, size, nth = text[order], begin[order], size[order], nth[order]
         start = block.start if self.inner[block.start] else -1
-        state = np.where(nth > 0, self.target[begin - 1], start)
+        state = np.where(nth > 0, self.target[begin - 1], np.int32(start))
         total = np.zeros(len(text))
         for i in range(int(size.max(initial=0))):
             live = int(np.searchsorted(-size, -i, "left"))  # pieces with a token left

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import itertools
 import random
 
 import numpy as np
@@ -420,6 +421,35 @@ def test_viterbi_over_segments():
         assert weigh(joined) == pytest.approx(weigh(whole))
 
 
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(3)
+    emit, move = (np.log(rng.dirichlet(np.ones(n), chat.STATES)) for n in (chat.SYMBOLS, chat.STATES))
+    for n in (1, 2, 5):
+        x = rng.integers(0, chat.SYMBOLS, n)
+        begin = np.where(np.arange(chat.STATES) % 2 == 0, 0.0, -30.0)
+        best = max(itertools.product(range(chat.STATES), repeat=n), key=lambda p: begin[p[0]] + sum(emit[a, b] for a, b in zip(p, x)) + sum(move[a, b] for a, b in zip(p, p[1:])))
+        assert chat.paths([x], emit, move, [-1], [-1])[0].tolist() == list(best)
+
+
+def test_chat_accuracy_by_style(spark):
+    """Roles of turns in each style, by tables that never saw the conversation."""
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    style = F.pmod(F.xxhash64(F.concat(F.lit("id "), F.col("conv_id").cast("string"))), F.lit(len(chat.STYLES)))
+    got = chat.recover(turns).groupBy(style.alias("style")).agg(F.avg((F.col("role") == F.col("role_pred")).cast("int")).alias("right"), F.avg(F.col("starts").cast("int")).alias("starts")).collect()
+    assert len(got) == len(chat.STYLES)
+    for r in got:
+        assert r["right"] >= (0.98 if r["style"] < 4 else 0.85) and r["starts"] >= (0.98 if r["style"] < 4 else 0.8), r
+
+
+def test_chat_takes_off_markers_alone():
+    assert chat.unmarked(["user", "assistant"], ["User: hi", "Assistant: # A guide"]) == ["hi", "# A guide"]
+    assert chat.unmarked(["user", "assistant"], ["# A guide to bread", "Model: T-34 tank"]) == ["# A guide to bread", "Model: T-34 tank"]
+    assert chat.unmarked(["user", "assistant", "user"], ["Q: hi", "A: [AI] winter", "[AI] winter"]) == ["hi", "[AI] winter", "[AI] winter"]
+    assert chat.unmarked(["user", "assistant"], ["### Instruction", "### Response"]) == ["", ""]
+    assert chat.unmarked(["assistant"], ["Model: T-34 tank"]) == ["Model: T-34 tank"] and chat.unmarked([], []) == []
+    assert chat.unmarked(["system", "assistant"], ["User: a", "Assistant: b"]) == ["User: a", "b"]
+
+
 def test_chat(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
     got = chat.recover(turns).collect()
