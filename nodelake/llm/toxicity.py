@@ -40,8 +40,8 @@ class Settings:
     size: int = 8
     words: int = 3
     weight: float = 4.0  # of a row with label 1
-    rows_each: tuple[int, int] = (6000, 2000)  # of label 0, of label 1, at most
-    bytes: int = 64 << 20  # of their texts together, at most
+    rows_each: tuple[int, int] = (5000, 2000)  # of label 0, of label 1, at most
+    bytes: int = 20 << 20  # of their texts together, at most
     rounds: int = 12
     batch: int = 128
     mean_rounds: int = 3
