@@ -10,7 +10,8 @@ heads of the lists (languages x ``size`` entries) come to the driver and go out
 
 Defined results: a null text, or one without a letter, gets the language ``und`` and score 0, as do all texts when
 nothing is learned; of languages at equal distance the first in alphabetical order wins (score 0); with one language the
-score is 1 - distance / largest possible distance. Long texts are read whole. Other columns are ignored.
+score is 1 - distance / largest possible distance. Repeated rows are counted and predicted each. Long texts are read whole, in
+memory that grows with the longest. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,21 +126,21 @@ def _verdicts(profiles: Profiles, raw: np.ndarray, off: np.ndarray) -> tuple[np.
     return best, np.where(second > 0, 1 - near / np.maximum(second, 1e-9), 0.0)
 
 
-def predict(docs: DataFrame, profiles: Profiles, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with its own columns and ``lang_pred`` and ``score``, from the text alone."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    shape = T.StructType([*(docs.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predict(docs: DataFrame, profiles: Profiles, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with its own columns and, in place of any of those ``names``, the language and the score, from the text alone."""
+    kept = [c for c in docs.columns if c not in names]
+    shape = T.StructType([*(docs.schema[c] for c in kept), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*profiles.languages, "und"], object)
+        known = np.array([*profiles.languages, "und"], object)
         for batch in batches:
-            lang, score = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows)
+            lang, score = np.full(batch.num_rows, len(known) - 1), np.zeros(batch.num_rows)
             if profiles.languages:
                 for first, end, raw, off in B.steps(batch.column(batch.num_columns - 2)):
                     lang[first:end], score[first:end] = _verdicts(profiles, raw, off)
             none = ~np.array(batch.column(batch.num_columns - 1).to_pylist(), bool)
-            lang[none], score[none] = len(names) - 1, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], B.strings(list(names[lang])), pa.array(score)], shape.names)
+            lang[none], score[none] = len(known) - 1, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], B.strings(list(known[lang])), pa.array(score)], shape.names)
 
     lower, letter = F.lower(F.col(text)).alias("_lower"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter")
     return docs.select(*kept, lower, letter).mapInArrow(run, shape)
@@ -149,4 +150,4 @@ def identify(docs: DataFrame, fold: int = 1, folds: int = 3, id: str = "doc_id",
     """Learn from the documents outside the held-out fold, predict all: id, ``held_out``, ``lang_pred``, ``score``."""
     held_out = F.coalesce(F.crc32(F.col(id).cast("string")) % folds == fold, F.lit(False))
     profiles = train(docs.filter(~held_out), text, lang)
-    return predict(docs.select(F.col(id), held_out.alias("held_out"), F.col(text)), profiles, id, text).drop(text)
+    return predict(docs.select(F.col(id), held_out.alias("held_out"), F.col(text)), profiles, text).drop(text)

@@ -8,7 +8,8 @@ rates of those the bound is the group's ``upper`` quantile where that is higher,
 repeated windows in a document of the group's median size. The thresholds are joined back to the documents.
 
 Defined results: a null text has no words; null languages and sources form groups of their own; a document without
-words fails the base rules; only documents that pass the base rules enter the sketches; other columns are ignored.
+words fails the base rules; only documents that pass the base rules enter the sketches; repeated rows count each; a text is worked on whole, in memory that
+grows with it; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

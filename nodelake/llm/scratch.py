@@ -31,16 +31,24 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession, *keep: DataFrame) -> None:
-    """Remove what :func:`table` has written for this application, but for tables that are to be kept. Call it when no other
-    result is read any more."""
+def _files(spark: SparkSession):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    kept = {"/".join(f.split("/")[:-1]).rsplit("/", 1)[-1] for df in keep for f in df.inputFiles()}
-    if files.exists(path):
-        for s in files.listStatus(path):
-            if s.getPath().getName() not in kept:
-                files.delete(s.getPath(), True)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def tables(spark: SparkSession) -> set[str]:
+    """Names of the tables that :func:`table` has written for this application."""
+    files, path = _files(spark)
+    return {s.getPath().getName() for s in files.listStatus(path)} if files.exists(path) else set()
+
+
+def clear(spark: SparkSession, *keep: DataFrame, names: set[str] = frozenset()) -> None:
+    """Remove the tables that :func:`table` has written, but for those that ``keep`` reads, and ``names``. Call it when no
+    other result is read any more."""
+    files, path = _files(spark)
+    kept = {f.rsplit("/", 2)[-2] for df in keep for f in df.inputFiles()}
+    for name in tables(spark) - kept - names:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(path, name), True)
 
 
 def partitions(spark: SparkSession) -> int:

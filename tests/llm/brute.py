@@ -139,3 +139,67 @@ def quality(text):
     count = Counter(window)
     twice = {k for i, x in enumerate(window) if count[x] > 1 for k in range(i, i + 8)}
     return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in text), len(lines) - len(set(lines)), len(twice)
+
+
+def language(rows, size=300):
+    """(id, text, lang) -> language and score of each row, by place in the list."""
+
+    def grams(text):
+        raw = text.lower().encode()
+        x = b" " + bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in raw) + b" "
+        return Counter(g for n in (1, 2, 3) for i in range(len(x) - n + 1) if (g := x[i : i + n]).strip() and b" " not in g[1:-1])
+
+    def ranked(count):
+        return {g: k for k, (g, _) in enumerate(sorted(count.items(), key=lambda c: (-c[1], int.from_bytes(c[0], "big")))[:size])}
+
+    counted = defaultdict(Counter)
+    for i, text, lang in rows:
+        if fold(i, 3) != 1 and lang is not None and text is not None:
+            counted[lang].update(grams(text))
+    profiles = {lang: ranked(c) for lang, c in sorted(counted.items())}
+    out = []
+    for _, text, _ in rows:
+        if not any(c.isalpha() for c in text or "") or not profiles:
+            out.append(("und", 0.0))
+            continue
+        own = ranked(grams(text))
+        far = sorted((sum(abs(p[g] - k) if g in p else size for g, k in own.items()), lang) for lang, p in profiles.items())
+        out.append((far[0][1], 1 - far[0][0] / far[1][0] if far[1][0] else 0.0))
+    return out
+
+
+def quality_verdicts(rows, reach=6.0, least_rows=100, upper=0.9, events=3, window=8):
+    """(text, lang, source) -> whether each row is kept, with exact quantiles."""
+    of = []
+    for text, lang, source in rows:
+        n, chars, symbols, dups, repeated = quality(text)
+        lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+        failed = n < 20 or 100 * repeated > 30 * n
+        rates = {"word_length": chars / n, "symbol_rate": symbols / n, "dup_line_rate": dups / lines, "repeat_rate": repeated / n} if n else {}
+        of.append((lang, source, failed, rates | {"n_words": n, "n_lines": lines}))
+    least = {"word_length": 0.5, "symbol_rate": 0.0, "dup_line_rate": 0.0, "repeat_rate": 0.0}
+    units = {"symbol_rate": "n_words", "dup_line_rate": "n_lines", "repeat_rate": "n_words"}
+
+    def bounds(members):
+        out = {}
+        for r in least:
+            q = lambda p, c=r: sorted(x[c] for x in members)[math.ceil(p * len(members)) - 1]
+            width = reach * max(q(0.75) - q(0.25), least[r])
+            high = q(0.75) + width
+            if r in units:
+                high = max(high, q(upper)) + events * (2 * window if r == "repeat_rate" else 1) / q(0.5, units[r])
+            out[r] = q(0.25) - width if r == "word_length" else -math.inf, high
+        return out
+
+    good = [(lang, source, x) for lang, source, failed, x in of if not failed]
+    known = {}
+    kept = []
+    for lang, source, failed, x in of:
+        if failed:
+            kept.append(False)
+            continue
+        if (lang, source) not in known:
+            choices = ([y for a, b, y in good if (a, b) == (lang, source)], [y for a, _, y in good if a == lang])
+            known[lang, source] = bounds(next((c for c in choices if len(c) >= least_rows), [y for _, _, y in good]))
+        kept.append(all(a <= x[r] <= z for r, (a, z) in known[lang, source].items()))
+    return kept

@@ -337,6 +337,23 @@ def test_language(spark, table, docs, empty):
     assert {(r["lang_pred"], r["score"]) for r in alone} == {("und", 0.0)}
 
 
+def test_language_against_plain_profiles(table, docs):
+    got = by_id(language.identify(table))
+    for (i, *_), (lang, score) in zip(docs, brute.language([(i, t, x) for i, t, x, _ in docs])):
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score), i
+
+
+def test_quality_verdicts_against_exact_quantiles(spark, table, docs):
+    """Groups are smaller than the sketches here, so their quantiles are exact."""
+    got = by_id(quality.judge(table))
+    for (i, *_), kept in zip(docs, brute.quality_verdicts([(t, lang, src) for _, t, lang, src in docs])):
+        assert got[i]["kept"] == kept, i
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    whole = by_id(quality.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    bad = [i for i, q in labels.items() if q == 0 and not whole[i]["base_failed"]]
+    assert bad and sum(not whole[i]["kept"] for i in bad) >= 0.9 * len(bad)
+
+
 def test_quality(spark, table, docs, empty):
     got = by_id(quality.judge(table))
     assert len(got) == len(docs)
