@@ -6,6 +6,8 @@ Python object is made per word or character. A null text counts as empty.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import cache
 
@@ -13,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once. The arrays of 8 bytes per byte then stay small.
-STEP = 1 << 20
+STEP = 1 << 19
+#: Bytes of text after which a worker gives freed memory back, so that it doesn't hold it while the JVM needs it.
+RELEASE = 8 << 20
 
 U = np.uint64
 _PRIME = 0x9E3779B97F4A7C15
@@ -49,6 +53,19 @@ def buffer_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return raw[off[0] : off[-1]], off - off[0]
 
 
+_since = [0]
+
+
+def release(worked: int) -> None:
+    """Give freed memory back to the system, once in ``RELEASE`` bytes of text."""
+    _since[0] += worked
+    if _since[0] >= RELEASE:
+        _since[0] = 0
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def steps(column: pa.Array | pa.ChunkedArray, most: int = STEP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a column into runs of texts of ``most`` bytes together (or one longer text): first, end, bytes, offsets."""
     raw, off = buffer_of(column)
@@ -57,6 +74,7 @@ def steps(column: pa.Array | pa.ChunkedArray, most: int = STEP) -> Iterator[tupl
         end = max(first + 1, int(np.searchsorted(off, off[first] + most, "right")) - 1)
         yield first, end, raw[off[first] : off[end]], off[first : end + 1] - off[first]
         first = end
+    release(len(raw))
 
 
 def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
