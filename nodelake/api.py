@@ -57,14 +57,14 @@ def search_prompt() -> str:
 _TEXT, _NAME = {"type": "string"}, {"name": {"type": "string"}}
 _CONDITIONS = {**dict.fromkeys(("file_path", "language", "node_type", "node_name"), _TEXT), "has_documentation": {"type": "boolean"}}
 TOOLS = {
-    "index_repository": ("Bring a repository's index in step with its files.", _NAME | {"full": {"type": "boolean"}}, ["name"]),
-    "search_repository": ("Search a repository's nodes.", _NAME | {"query": _TEXT, "limit": {"type": "integer"}} | _CONDITIONS, ["name", "query"]),
+    "index": ("Bring a repository's index in step with its files.", _NAME | {"full": {"type": "boolean"}}, ["name"]),
+    "search": ("Search a repository's nodes.", _NAME | {"query": _TEXT, "limit": {"type": "integer"}} | _CONDITIONS, ["name", "query"]),
 }
 REPOS, STATUS, PROMPT = "repos://list", "repo://{name}/status", "search_workflow"
 
 
 def _call(store: Store, name: str, given: dict[str, Any]) -> dict:
-    run = {"index_repository": index, "search_repository": search}[name]
+    run = {"index": index, "search": search}[name]
     _, known, needed = TOOLS[name]
     if missing := [k for k in needed if k not in given]:
         raise TypeError(f"missing {', '.join(missing)}")

@@ -294,8 +294,8 @@ def tool_server(spark: SparkSession, sf_dir: str) -> DataFrame:
         repo, store = _project(spark, sf_dir, home), Store(spark, str(home / "store"))
         name, call = repo.name, lambda tool, **given: ("tools/call", {"name": tool, "arguments": given})
         requests = [
-            ("initialize", {}), ("tools/list", {}), call("index_repository", name=name), call("index_repository", name=name, full=True), call("index_repository", name="none"), call("search_repository", name=name, query="x", limit=4), call("search_repository", name=name, query="x", node_type="class"),
-            call("search_repository", name="none", query="x"), call("search_repository", name=name), ("resources/list", {}), ("resources/templates/list", {}), ("resources/read", {"uri": "repos://list"}), ("resources/read", {"uri": f"repo://{name}/status"}), ("resources/read", {"uri": "repo://none/status"}),
+            ("initialize", {}), ("tools/list", {}), call("index", name=name), call("index", name=name, full=True), call("index", name="none"), call("search", name=name, query="x", limit=4), call("search", name=name, query="x", node_type="class"),
+            call("search", name="none", query="x"), call("search", name=name), ("resources/list", {}), ("resources/templates/list", {}), ("resources/read", {"uri": "repos://list"}), ("resources/read", {"uri": f"repo://{name}/status"}), ("resources/read", {"uri": "repo://none/status"}),
             ("resources/read", {"uri": "x"}), ("prompts/list", {}), ("prompts/get", {"name": api.PROMPT}), ("ping", {}), ("nothing", {}),
         ]
         lines = [json.dumps({"jsonrpc": "2.0", "id": i, "method": m, "params": p}) for i, (m, p) in enumerate(requests)]

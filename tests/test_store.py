@@ -99,7 +99,7 @@ def test_embedders():
 def test_server_answers(store):
     ask = lambda **m: json.loads(api.respond(store, json.dumps({"jsonrpc": "2.0", "id": 1} | m)))
     assert {t["name"] for t in ask(method="tools/list")["result"]["tools"]} == set(api.TOOLS)
-    assert ask(method="tools/call", params={"name": "search_repository", "arguments": {"name": "x", "query": "q", "other": 1}})["error"]["code"] == api.BAD_PARAMS
+    assert ask(method="tools/call", params={"name": "search", "arguments": {"name": "x", "query": "q", "other": 1}})["error"]["code"] == api.BAD_PARAMS
     assert ask(method="nothing")["error"]["code"] == api.NO_METHOD
     assert api.respond(store, json.dumps({"jsonrpc": "2.0", "method": "notifications/initialized"})) is None
     assert json.loads(api.respond(store, "[1"))["error"]["code"] == api.PARSE_ERROR
