@@ -345,9 +345,9 @@ def _dealt(df: DataFrame, group: str) -> DataFrame:
 def under(texts: DataFrame, depth: int, s: Settings) -> DataFrame:
     """What :func:`_near_task` returns of all nodes at a depth with two texts or more."""
     nodes = texts.select("text", "label").mapInArrow(_node_task(s, depth), "text binary, tree int, node long")
-    shared = scratch.table(nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("node").alias("shared"), "n"))
+    shared = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("node").alias("shared"), "n")
     shared = shared.hint("merge")  # grows with the texts, so the plan shouldn't turn on its size
-    members = scratch.table(nodes.join(shared, F.col("node") == F.col("shared")).drop("shared"))
+    members = nodes.join(shared, F.col("node") == F.col("shared")).drop("shared")
     labels = texts.select(F.col("text").alias("_text"), "label")
     met = _in_blocks(members.join(labels, F.col("text") == F.col("_text")), "node", F.ceil(F.col("n") / s.node))
     dealt = _dealt(met.select("node", "i", "j", "side", "tree", "text", "label"), "node")
