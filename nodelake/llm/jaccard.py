@@ -375,7 +375,7 @@ def join(docs: DataFrame, settings: Settings = Settings(), id: str = "doc_id", t
     rows = docs.select(F.col(id).alias("id"), F.unhex(F.md5(F.col(text))).alias("digest"), F.col(text).alias("body"))
     signed = scratch.table(rows.mapInArrow(_sign_task(s), f"id {kind}, digest binary, text binary, size long, label binary, bytes long"))
     some = signed.filter("text is not null")
-    texts = scratch.table(some.groupBy("text").agg(F.count("*").alias("copies"), F.min("digest").alias("digest"), F.max("bytes").alias("bytes"), F.first("label").alias("label")))
+    texts = scratch.table(some.groupBy("text").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.min("digest").alias("digest"), F.max("bytes").alias("bytes"), F.first("label").alias("label")))
     edges = forest(texts, s)
     around = components.label(edges)
 
@@ -388,13 +388,13 @@ def join(docs: DataFrame, settings: Settings = Settings(), id: str = "doc_id", t
     found = scratch.table(_dealt(work, "root").mapInArrow(_verify_task(s), "text binary, links long, root binary"))
     classes = components.label(found.select(F.col("text").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("text").agg(F.sum("links").alias("links")).withColumnRenamed("text", "_text")
-    of_text = texts.select("text", "copies").join(classes.withColumnRenamed("root", "_root"), F.col("text") == F.col("node"), "left").join(linked, F.col("text") == F.col("_text"), "left")
-    of_text = scratch.table(of_text.select(F.col("text").alias("_text"), F.coalesce("_root", "text").alias("root"), "copies", F.coalesce("links", F.lit(0)).alias("links")))
+    of_text = texts.select("text", "copies", "least").join(classes.withColumnRenamed("root", "_root"), F.col("text") == F.col("node"), "left").join(linked, F.col("text") == F.col("_text"), "left")
+    of_text = scratch.table(of_text.select(F.col("text").alias("_text"), F.coalesce("_root", "text").alias("root"), "copies", "least", F.coalesce("links", F.lit(0)).alias("links")))
+    smallest = scratch.table(of_text.groupBy("root").agg(F.min("least").alias("class_id")).withColumnRenamed("root", "_root"))
+    of_text = of_text.join(smallest, F.col("root") == F.col("_root")).select("_text", "root", "class_id", "copies", "links")
 
-    out = scratch.table(signed.select("id", "digest", "text").join(of_text, F.col("text") == F.col("_text"), "left").drop("_text"))
-    smallest = scratch.table(out.filter("root is not null").groupBy("root").agg(F.min("id").alias("class_id")).withColumnRenamed("root", "_root"))
     alone = F.col("text").isNull()
-    return out.join(smallest, F.col("root") == F.col("_root"), "left").select(
+    return signed.select("id", "digest", "text").join(of_text, F.col("text") == F.col("_text"), "left").select(
         "id", "digest", "text", "root", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"), F.when(alone, F.lit(0)).otherwise(F.col("copies") - 1 + F.col("links")).alias("n_links"))
 
