@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bytewise as B
+
 #: Entries that the memory of pieces, and that of pairs, may hold; beyond it the memory starts afresh.
 MEMORY = 250_000
 
@@ -124,16 +126,10 @@ class Encoder:
         return sum([k[0] for k in known]), ids.hexdigest(), decoded.hexdigest()
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 def _encoder(ranks, pattern: str) -> Encoder:
-    """One encoder for each Python worker, and vocabulary by its content."""
+    """One encoder for each Python worker, and vocabulary by its content, until the worker works for another operator."""
     digest, known = ranks.value
-    if (digest, pattern) not in _encoders:
-        _encoders.clear()
-        _encoders[digest, pattern] = Encoder(known, pattern)
-    return _encoders[digest, pattern]
+    return B.keep((digest, pattern), lambda: Encoder(known, pattern))
 
 
 def _shared(df: DataFrame, path: str):
@@ -157,6 +153,25 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", to: str =
     return df.drop(to).mapInArrow(run, T.StructType([*df.drop(to).schema.fields, T.StructField(to, T.ArrayType(T.IntegerType()))]))
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", names: tuple[str, str] = ("ids", "decoded")) -> DataFrame:
+    """``df`` with the ids of each whole text and the bytes that these ids decode to in place of the text, and of any of those
+    ``names``. Like :func:`encode` and then :func:`decode`, but in one worker, where those take two for each task."""
+    ranks = _shared(df, path)
+    kept = [c for c in df.columns if c not in (text, *names)]
+    shape = T.StructType([*(df.schema[c] for c in kept), T.StructField(names[0], T.ArrayType(T.IntegerType())), T.StructField(names[1], T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(ranks, pattern)
+        for batch in batches:
+            for part in _parts(batch):
+                ids = [encoder.encode(x or "") for x in part.column(part.num_columns - 1).to_pylist()]
+                decoded = pa.array([encoder.decode(x) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.list_(pa.int32())), decoded], shape.names)
+            B.release(batch.nbytes)
+
+    return df.select(*kept, text).mapInArrow(run, shape)
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """``df`` with the bytes that each row's ids stand for in the new column ``to``; null ids give no bytes."""
     ranks = _shared(df, path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import itertools
 import random
+import weakref
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from nodelake.llm import bpe, chat, components, decontaminate, exchange, jaccard, language, lines, lm, order, quality, repeats, toxicity
+from nodelake.llm import bpe, bytewise, chat, components, decontaminate, exchange, jaccard, language, lines, lm, order, quality, repeats, toxicity
 
 from . import brute
 
@@ -436,6 +438,25 @@ def test_bpe(spark, table, docs, empty):
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
 
 
+def test_bpe_round_trip(spark, table, empty):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    two = bpe.decode(bpe.encode(table, path, pattern), path).drop("text")
+    one = bpe.round_trip(table, path, pattern)
+    assert one.columns == two.columns and sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    assert bpe.round_trip(empty, path, pattern).count() == 0
+    clash = table.select("text", F.lit(1).alias("ids"), F.lit(2).alias("decoded"))
+    assert bpe.round_trip(clash, path, pattern).columns == ["ids", "decoded"]
+
+
+def test_workers_drop_the_encoder_for_another_operator():
+    """A worker is handed to tasks of any stage; it keeps one encoder for all tasks of operator 8, none for those of others."""
+    ranks = SimpleNamespace(value=("one", {bytes([i]): i for i in range(256)}))
+    known = weakref.ref(bpe._encoder(ranks, r"\S+|\s+"))
+    assert known().encode("ab") == [97, 98] and bpe._encoder(ranks, r"\S+|\s+") is known()
+    assert len(list(bytewise.steps(pa.array(["a text", None])))) == 1
+    assert known() is None
+
+
 def test_bpe_of_random_pieces():
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoder = bpe.Encoder(bpe.read_ranks(path), pattern)

@@ -44,6 +44,12 @@ def test_last_stage_decodes(spark):
     assert {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.encoded(spark, docs, SF).collect()} == want
 
 
+def test_last_stage_takes_one_worker_a_task(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = corpus_pipeline.encoded(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_stage_edge_cases(spark):
     """Null and empty texts, null and repeated ids, repeated rows, clashing columns, no ``n_chars``, empty tables."""
     good = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'").orderBy("doc_id").limit(6).collect()]
